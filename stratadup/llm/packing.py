@@ -20,18 +20,22 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratadup.llm.textkit import Memo, column
+from stratadup.llm.textkit import column, slices
 
-MEMO_ENTRIES = 700_000
+MEMO_ENTRIES = 800_000
+#: White space other than the space and the line feed.
+ODD_SPACES = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+SPACE = "\u0120"  # stands for the space in byte-level vocabularies
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class ByteBpe:
     """Ids of a byte-level vocabulary, as little-endian unsigned 32-bit integers.
 
-    A single space between other characters always begins a new pre-token, so the ids of such
-    parts can be remembered and joined. Texts where white space meets in threes around a space,
-    or with a special string, go through the library whole.
+    A single space always begins a new pre-token unless white space stands on both its sides,
+    so the ids of the parts between spaces can be remembered and joined. Texts with such runs,
+    or with a special string, go through the library whole. Parts not yet known are encoded
+    together, as one text, and told apart by the ids that begin with a space.
     """
 
     def __init__(self, path: str, memo_entries: int = MEMO_ENTRIES):
@@ -42,24 +46,59 @@ class ByteBpe:
 
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.parts = Memo(self.whole, memo_entries)
+        vocabulary = self.library.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for piece, i in vocabulary.items() if piece.startswith(SPACE)]] = True
+        self.parts: dict[str, bytes] = {}
+        self.limit = memo_entries
         self.runs = regex.compile(r"[\s\p{White_Space}] (?:[\s\p{White_Space}]|\Z)")
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _learn(self, parts: set[str]) -> None:
-        """Remember many parts by one call of the library."""
-        room = self.parts.limit - len(self.parts)
-        new = [p for p in parts if p not in self.parts][: max(room, 0)]
-        for p, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.parts[p] = np.array(e.ids, "<u4").tobytes()
-
-    def ids(self, text: str) -> bytes:
-        if any(s in text for s in self.special) or self.runs.search(text):
-            return self.whole(text)
-        head, *rest = text.split(" ")
-        return self.whole(head) + b"".join(map(self.parts.__getitem__, [" " + p for p in rest]))
+    def separable(self, text: str) -> bool:
+        if any(s in text for s in self.special):
+            return False
+        spaced = "  " in text or "\n " in text or any(c in text for c in ODD_SPACES)
+        return not (spaced and self.runs.search(text))
+
+    def learn(self, parts: list[str]) -> dict[str, bytes]:
+        """The ids of unknown parts, each after a space."""
+        found: dict[str, bytes] = {}
+        plain = [p for p in parts if p and not p[0].isspace()]
+        for i in range(0, len(plain), 2000):
+            some = plain[i : i + 2000]
+            ids = np.array(self.library.encode(" " + " ".join(some), add_special_tokens=False).ids, "<u4")
+            at = np.flatnonzero(self.begins[ids])
+            if len(at) == len(some):
+                raw, cut = ids.tobytes(), [*(at * 4).tolist(), len(ids) * 4]
+                found.update((p, raw[a:b]) for p, a, b in zip(some, cut, cut[1:], strict=False))
+        for p in parts:
+            if p not in found:
+                found[p] = self.whole(" " + p)
+        room = self.limit - len(self.parts)
+        if room >= len(found):
+            self.parts.update(found)
+        return found
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of every text."""
+        split = [t.split(" ") if self.separable(t) else None for t in texts]
+        heads = [s[0] for s in split if s]
+        for s in split:
+            if s:
+                del s[0]
+        wanted = set().union(*(s for s in split if s))
+        unknown = wanted.difference(self.parts)
+        new = self.learn(list(unknown)) if unknown else {}
+        # what found no room in the table is looked up beside it
+        get = self.parts.__getitem__ if unknown.issubset(self.parts) else {p: self.parts.get(p) or new[p] for p in wanted}.__getitem__
+        first = iter(self.library.encode_batch_fast(heads, add_special_tokens=False))
+        for text, s in zip(texts, split, strict=True):
+            if s is None:
+                yield self.whole(text)
+            else:
+                yield np.array(next(first).ids, "<u4").tobytes() + b"".join(map(get, s))
 
 
 @lru_cache(maxsize=2)
@@ -142,12 +181,13 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, piece: int = 25
     """
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids_of = tokenizer(vocabulary).ids
+        encode = tokenizer(vocabulary).encode
         end = np.array([end_id], "<u4").tobytes()
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(column(batch, "doc_id").to_pylist(), column(batch, "text"), strict=True):
-                ids = ids_of(text.as_py() or "") + end
+            texts = [t or "" for t in column(batch, "text").to_pylist()]
+            for doc_id, ids in zip(column(batch, "doc_id").to_pylist(), encode(texts), strict=True):
+                ids += end
                 total, view = len(ids) // 4, memoryview(ids)
                 for start, length in cuts(total, capacity, piece):
                     for c, v in zip(out, (doc_id, start, length, zlib.crc32(view[4 * start : 4 * (start + length)]), total), strict=True):
