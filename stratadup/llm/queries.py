@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stratadup.llm import bpe_counts, packing, robust_rules, sharding
+from stratadup.llm import bpe_counts, line_crf, packing, robust_rules, sharding
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
 
+def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_crf.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op5_robust_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust_rules.report(_table(spark, sf_dir, "documents"))
 
@@ -28,5 +32,5 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
-QUERIES = {"op2_sharding": op2_sharding, "op5_robust_rules": op5_robust_rules, "op6_token_counts": op6_token_counts, "op7_packing": op7_packing}
+QUERIES = {"op2_sharding": op2_sharding, "op3_line_crf": op3_line_crf, "op5_robust_rules": op5_robust_rules, "op6_token_counts": op6_token_counts, "op7_packing": op7_packing}
 ORACLES: dict[str, str] = {}
