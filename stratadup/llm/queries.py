@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stratadup.llm import bpe_counts, line_crf, ngram_join, packing, robust_rules, sharding, substring_dedup
+from stratadup.llm import bpe_counts, kneser_ney, line_crf, ngram_join, packing, robust_rules, sharding, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,5 +40,9 @@ def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_sharding": op2_sharding, "op3_line_crf": op3_line_crf, "op5_robust_rules": op5_robust_rules, "op6_token_counts": op6_token_counts, "op7_packing": op7_packing, "op8_ngram_join": op8_ngram_join, "op9_substring_dedup": op9_substring_dedup}
+def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.perplexity(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {"op2_sharding": op2_sharding, "op3_line_crf": op3_line_crf, "op5_robust_rules": op5_robust_rules, "op6_token_counts": op6_token_counts, "op7_packing": op7_packing, "op8_ngram_join": op8_ngram_join, "op9_substring_dedup": op9_substring_dedup, "op10_kneser_ney": op10_kneser_ney}
 ORACLES: dict[str, str] = {}
