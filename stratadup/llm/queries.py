@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stratadup.llm import bpe_counts, kneser_ney, line_crf, ngram_join, packing, robust_rules, sharding, substring_dedup
+from stratadup.llm import bpe_counts, curve_search, kneser_ney, line_crf, ngram_join, packing, robust_rules, sharding, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_curve_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return curve_search.search(_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", lambda key: key % 20 == 0, 20)
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(_table(spark, sf_dir, "documents"))
 
@@ -44,5 +48,5 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.perplexity(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op2_sharding": op2_sharding, "op3_line_crf": op3_line_crf, "op5_robust_rules": op5_robust_rules, "op6_token_counts": op6_token_counts, "op7_packing": op7_packing, "op8_ngram_join": op8_ngram_join, "op9_substring_dedup": op9_substring_dedup, "op10_kneser_ney": op10_kneser_ney}
+QUERIES = {"op1_curve_search": op1_curve_search, "op2_sharding": op2_sharding, "op3_line_crf": op3_line_crf, "op5_robust_rules": op5_robust_rules, "op6_token_counts": op6_token_counts, "op7_packing": op7_packing, "op8_ngram_join": op8_ngram_join, "op9_substring_dedup": op9_substring_dedup, "op10_kneser_ney": op10_kneser_ney}
 ORACLES: dict[str, str] = {}
