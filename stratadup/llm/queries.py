@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from stratadup.llm import bpe_counts, curve_search, kneser_ney, line_crf, ngram_join, packing, robust_rules, sharding, substring_dedup
+from stratadup.llm import bpe_counts, curve_search, kneser_ney, line_crf, merge_dropout, ngram_join, packing, robust_rules, sharding, substring_dedup
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op3_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_crf.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_merge_dropout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge_dropout.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op5_robust_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return robust_rules.report(_table(spark, sf_dir, "documents"))
 
@@ -48,5 +52,5 @@ def op10_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kneser_ney.perplexity(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_curve_search": op1_curve_search, "op2_sharding": op2_sharding, "op3_line_crf": op3_line_crf, "op5_robust_rules": op5_robust_rules, "op6_token_counts": op6_token_counts, "op7_packing": op7_packing, "op8_ngram_join": op8_ngram_join, "op9_substring_dedup": op9_substring_dedup, "op10_kneser_ney": op10_kneser_ney}
+QUERIES = {"op1_curve_search": op1_curve_search, "op2_sharding": op2_sharding, "op3_line_crf": op3_line_crf, "op4_merge_dropout": op4_merge_dropout, "op5_robust_rules": op5_robust_rules, "op6_token_counts": op6_token_counts, "op7_packing": op7_packing, "op8_ngram_join": op8_ngram_join, "op9_substring_dedup": op9_substring_dedup, "op10_kneser_ney": op10_kneser_ney}
 ORACLES: dict[str, str] = {}
