@@ -1,8 +1,76 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: five stages, each written as Parquet and read again by the next.
 
-STAGES: list = []
+quality rules -> line classifier -> near duplicates -> repeated passages -> packing. A stage is
+a function of (spark, docs, sf_dir); all but the last return the columns of `documents`.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from stratadup.llm import line_crf, ngram_join, packing, robust_rules, substring_dedup
+from stratadup.llm.durable import shared_dir
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The documents whose ids are listed."""
+    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the rules reject go."""
+    return _keep(docs, robust_rules.judge(docs).where("kept"))
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    model = line_crf.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return line_crf.score(docs, model, keep=tuple(COLUMNS)).where("predicted = 1").select(*COLUMNS)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each linked group stays."""
+    return _keep(docs, ngram_join.link(docs).where("doc_id = component_id"))
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of repeated passages go; texts without any stay as they are, emptied ones leave."""
+    cut = substring_dedup.remove_repeats(docs).where("n_removed > 0").select("doc_id", "kept")
+    joined = docs.join(cut, "doc_id", "left")
+    text = F.coalesce("kept", "text")
+    out = joined.withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept").cast("long"))).withColumn("text", text)
+    return out.where(F.col("kept").isNull() | (F.col("kept") != "")).select(*COLUMNS)
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packed pieces of all remaining documents."""
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("quality_classifier", quality_classifier),
+    ("near_duplicates", near_duplicates),
+    ("repeated_passages", repeated_passages),
+    ("packing", pack_windows),
+]
+
+#: No SQL expresses the trained classifier or the tokenizer; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over `documents`; what a stage returns is written to the shared folder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    base = f"{shared_dir(spark).rstrip('/')}/pipeline_{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        at = f"{base}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(at)
+        docs = spark.read.parquet(at)
+    return docs
