@@ -1,4 +1,192 @@
 """Every registered query of the routing engine, with the SQL that DuckDB runs beside it."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import replace
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from stratadup.config import RoutingConfig
+from stratadup.functions.fingerprints import is_boundary
+from stratadup.operators import features, fold, nodes, reports, segments
+from stratadup.plans import oracles
+from stratadup.sources import tables
+
+CFG = RoutingConfig()
+STREAMS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "documents": tables.documents,
+    "document_lines": tables.document_lines,
+    "pages": tables.pages,
+    "conversations": tables.conversations,
+    "events": tables.events,
+    "lineitem": tables.lineitem,
+}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+class Plan:
+    """The stages of one stream under one configuration, built on demand."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, stream: str = "documents", cfg: RoutingConfig = CFG, copies: int = 1):
+        raw = STREAMS[stream](spark, sf_dir)
+        self.cfg = cfg
+        self.raw = tables.backups(raw, copies) if copies > 1 else raw
+        self.chunks = segments.with_positions(self.raw)
+
+    @property
+    def segments(self) -> DataFrame:
+        return segments.segments(self.chunks, self.cfg)
+
+    @property
+    def members(self) -> DataFrame:
+        return segments.members(self.chunks, self.segments)
+
+    @property
+    def features(self) -> DataFrame:
+        return features.features(self.members, self.cfg)
+
+    @property
+    def stateless(self) -> DataFrame:
+        return fold.stateless(self.members, self.cfg)
+
+    @property
+    def decisions(self) -> DataFrame:
+        if self.cfg.policy == "stateless":
+            return self.stateless
+        members = self.members
+        return fold.route(fold.packed(members, features.features(members, self.cfg)), self.cfg)
+
+
+def _register(name: str, query: Callable[[Plan], DataFrame], sql: str | None, stream: str = "documents", cfg: RoutingConfig = CFG, copies: int = 1) -> None:
+    QUERIES[name] = lambda spark, sf_dir: query(Plan(spark, sf_dir, stream, cfg, copies))
+    if sql is not None:
+        ORACLES[name] = sql
+
+
+def _with(stream: str = "documents", cfg: RoutingConfig = CFG, *more: str, copies: int = 1) -> str:
+    return ", ".join([oracles.base(stream, cfg, copies), *more]) + " "
+
+
+def _chunks(stream: str) -> str:
+    return f"with {oracles.chunks(stream)} "
+
+
+STATELESS = replace(CFG, policy="stateless", feature="first")
+
+# Chunks, fingerprints and exact duplicates
+for _s in STREAMS:
+    _p = "" if _s == "documents" else f"{_s}_"
+    _register(f"{_p}chunk_scan", lambda p: p.raw.groupBy("trace").agg(F.count("*").alias("chunks"), F.countDistinct("file_no").alias("files")), _chunks(_s) + "select trace, count(*) as chunks, count(distinct file_no) as files from raw group by trace", _s)
+    _register(
+        f"{_p}dedup_global_ratio",
+        lambda p: p.raw.groupBy("fp").agg(F.count("*").alias("c")).agg(F.sum("c").cast("long").alias("logic_block"), F.count("*").alias("phy_block")).withColumn("dedup_ratio", F.round(F.col("logic_block") / F.col("phy_block"), 6)),
+        _chunks(_s) + "select count(*) as logic_block, count(distinct fp) as phy_block, round(count(*) / count(distinct fp), 6) as dedup_ratio from raw",
+        _s,
+    )
+    _register(f"{_p}segments", lambda p: p.segments, _with(_s) + "select * from segs", _s)
+    _register(f"{_p}segment_size_hist", lambda p: p.segments.groupBy("seg_size").agg(F.count("*").alias("n")), _with(_s) + "select seg_size, count(*) as n from segs group by seg_size", _s)
+    _register(f"{_p}feat_finesse", lambda p: p.features, _with(_s) + "select * from features", _s)
+
+_register("chunk_fingerprints", lambda p: p.raw, _chunks("documents") + "select trace, file_no, chunk_no, fp from raw")
+_register("chunk_positions", lambda p: p.chunks.select("trace", "file_no", "chunk_no", "pos"), _chunks("documents") + "select trace, file_no, chunk_no, pos from chunks")
+_register("file_chunk_counts", lambda p: p.raw.groupBy("trace", "file_no").agg(F.count("*").alias("chunks")), _chunks("documents") + "select trace, file_no, count(*) as chunks from raw group by all")
+
+
+def _fixed_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of fixed chunks: the last one of a file has the remainder."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.octet_length("text").cast("long").alias("size")).where("size > 0")
+    at = docs.select("doc_id", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("(size - 1) div 4096"))).alias("chunk_no"))
+    return at.select("doc_id", "chunk_no", F.least(F.col("size") - F.col("chunk_no") * 4096, F.lit(4096)).alias("chunk_size"))
+
+
+QUERIES["fixed_chunk_sizes"] = _fixed_sizes
+ORACLES["fixed_chunk_sizes"] = "select doc_id, i as chunk_no, least(size - i * 4096, 4096) as chunk_size from (select doc_id, size, unnest(range(0, (size + 4095) // 4096)) as i from (select doc_id, cast(strlen(text) as bigint) as size from documents) where size > 0)"
+
+_first = Window.partitionBy("fp").orderBy("trace", "file_no", "chunk_no")
+_register(
+    "first_occurrence",
+    lambda p: p.raw.groupBy("fp").agg(F.min(F.struct("trace", "file_no", "chunk_no")).alias("f")).select("fp", "f.trace", "f.file_no", "f.chunk_no"),
+    _chunks("documents") + "select fp, trace, file_no, chunk_no from (select *, row_number() over (partition by fp order by trace, file_no, chunk_no) as r from raw) where r = 1",
+)
+_register(
+    "dup_chunks",
+    lambda p: p.raw.withColumn("r", F.row_number().over(_first)).where("r > 1").select("trace", "file_no", "chunk_no", "fp"),
+    _chunks("documents") + "select trace, file_no, chunk_no, fp from (select *, row_number() over (partition by fp order by trace, file_no, chunk_no) as r from raw) where r > 1",
+)
+_register("intra_file_dups", lambda p: p.raw.groupBy("trace", "file_no", "fp").agg(F.count("*").alias("c")).where("c > 1").groupBy("trace", "file_no").agg(F.sum(F.col("c") - 1).cast("long").alias("dups")), _chunks("documents") + "select trace, file_no, cast(sum(c - 1) as bigint) as dups from (select trace, file_no, fp, count(*) as c from raw group by all having count(*) > 1) group by all")
+_register("cross_trace_dups", lambda p: p.raw.select("fp", "trace").distinct().groupBy("fp").agg(F.count("*").alias("traces")).where("traces > 1"), _chunks("documents") + "select fp, count(distinct trace) as traces from raw group by fp having count(distinct trace) > 1")
+_register("fp_refcount_hist", lambda p: p.raw.groupBy("fp").agg(F.count("*").alias("refs")).groupBy("refs").agg(F.count("*").alias("fps")), _chunks("documents") + "select refs, count(*) as fps from (select fp, count(*) as refs from raw group by fp) group by refs")
+_register("boundary_chunks", lambda p: p.chunks.where(is_boundary(F.col("fp"), CFG.least)).select("trace", "pos", "fp"), _chunks("documents") + f"select trace, pos, fp from chunks where {oracles.boundary('fp', CFG.least)}")
+_register("segment_chunks", lambda p: p.members.select("seg_id", "i", "fp"), _with() + "select seg_id, i, fp from members")
+
+# Features
+for _m in ("mink", "first", "ntrans", "cdmink"):
+    _c = replace(CFG, feature=_m)
+    _register(f"feat_{_m}", lambda p: p.features, _with("documents", _c) + "select * from features", cfg=_c)
+
+# Node-side relations under stateless routing
+_d = oracles.stateless(CFG)
+_index = f"ranked as (select node, fea, row_number() over (partition by node order by s, p) as rank from (select node, fea, min(seg_id) as s, arg_min(fea_pos, seg_id * 1000 + fea_pos) as p from features join decisions using (seg_id) group by all)), idx as (select node, fea, rank, (rank - 1) // {CFG.gp_size} as container_id, (rank - 1) % {CFG.gp_size} as slot from ranked)"
+_register("feature_index", lambda p: nodes.feature_index(p.features, p.stateless, CFG), _with("documents", CFG, _d, _index) + "select * from idx")
+_register("containers", lambda p: nodes.feature_index(p.features, p.stateless, CFG).groupBy("node", "container_id").agg(F.count("*").alias("used")), _with("documents", CFG, _d, _index) + "select node, container_id, count(*) as used from idx group by all")
+_register(
+    "best_container",
+    lambda p: nodes.best_container(p.features, nodes.feature_index(p.features, p.stateless, CFG)),
+    _with("documents", CFG, _d, _index)
+    + "select seg_id, node, container_id, matches from (select *, row_number() over (partition by seg_id, node order by matches desc, first_pos, container_id) as r from (select seg_id, node, container_id, count(*) as matches, min(fea_pos) as first_pos from features join idx using (fea) group by all)) where r = 1",
+)
+_register(
+    "similarity_probe",
+    lambda p: nodes.similarity(p.features, p.stateless),
+    _with("documents", CFG, _d) + "select f.seg_id, x.node, count(*) as hits from features f join (select node, fea, min(seg_id) as s from features join decisions using (seg_id) group by all) x on x.fea = f.fea and x.s < f.seg_id group by all",
+)
+_even = lambda p: p.features.where("seg_id % 2 = 0")  # noqa: E731  an index of half the segments
+_register("hit_features", lambda p: nodes.hit_features(p.features.where("seg_id % 2 = 1"), _even(p)).select("seg_id", "fea_pos", "fea"), _with() + "select seg_id, fea_pos, fea from features where seg_id % 2 = 1 and fea in (select fea from features where seg_id % 2 = 0)")
+_register("unhit_features", lambda p: nodes.unhit_features(p.features.where("seg_id % 2 = 1"), _even(p)).select("seg_id", "fea_pos", "fea"), _with() + "select seg_id, fea_pos, fea from features where seg_id % 2 = 1 and fea not in (select fea from features where seg_id % 2 = 0)")
+_register(
+    "sigma_candidates",
+    lambda p: fold.candidates(p.features, CFG),
+    _with("documents", replace(CFG, feature="mink")) + f"select seg_id, cast(row_number() over (partition by seg_id order by o) - 1 as integer) as ord, node from (select seg_id, cast({oracles.byte('fea', 5)} % {CFG.nodes} as integer) as node, min(fea_pos) as o from features group by all)",
+    cfg=replace(CFG, feature="mink"),
+)
+_register(
+    "node_dedup",
+    lambda p: nodes.dedup(p.members, p.stateless).groupBy("node").agg(F.count_if("dup").alias("dups"), F.count_if(~F.col("dup")).alias("new")),
+    _with("documents", CFG, _d) + "select node, count(*) - count(distinct fp) as dups, count(distinct fp) as new from members join decisions using (seg_id) group by node",
+)
+_register("route_stateless", lambda p: p.decisions, _with("documents", STATELESS, oracles.stateless(STATELESS)) + "select * from decisions", cfg=STATELESS)
+_nodes = (oracles.stateless(STATELESS), oracles.node_report(STATELESS))
+_register("node_storage", lambda p: reports.node_report(p.members, p.decisions, p.features, STATELESS), _with("documents", STATELESS, *_nodes) + "select * from nodes", cfg=STATELESS)
+_register("cluster_report", lambda p: reports.cluster_report(reports.node_report(p.members, p.decisions, p.features, STATELESS), STATELESS), _with("documents", STATELESS, *_nodes) + oracles.cluster_report(STATELESS), cfg=STATELESS)
+
+# Policies that fold over segments
+BOAFFT = CFG
+SIGMA = replace(CFG, policy="sigma", feature="mink")
+SKEWED = replace(CFG, policy="stateless_skew", feature="first")
+for _n, _c in (("boafft", BOAFFT), ("sigma", SIGMA), ("stateless_skew", SKEWED)):
+    _register(f"route_{_n}", lambda p: p.decisions.select("seg_id", "node", F.col("hit").cast("long").alias("hit")), _with("documents", _c, oracles.routing(_c)) + "select seg_id, node, hit from decisions", cfg=_c)
+
+
+def _report(p: Plan) -> DataFrame:
+    members = p.members
+    found = features.features(members, p.cfg)
+    decisions = fold.route(fold.packed(members, found), p.cfg)
+    return reports.cluster_report(reports.node_report(members, decisions, found, p.cfg), p.cfg)
+
+
+_register("report_boafft", _report, _with("documents", BOAFFT, oracles.routing(BOAFFT), oracles.node_report(BOAFFT)) + oracles.cluster_report(BOAFFT), cfg=BOAFFT)
+_register("route_volumes", lambda p: reports.route_volumes(p.decisions, p.cfg), _with("documents", BOAFFT) + f"select cast(n * {CFG.nodes} as bigint) as route_connec, cast(0 as bigint) as re_gp, cast(n * {CFG.nodes * (8 + 6 * CFG.features)} as bigint) as route_volume, cast(n * {CFG.nodes * 16} as bigint) as re_route_volume, cast(0.0 as double) as re_gp_rate from (select count(*) as n from segs)", cfg=BOAFFT)
+
+# Prediction needs repeated traces; its decisions are checked against a model in the tests
+GUIDEPOST = replace(CFG, policy="guidepost", shadow=True)
+LRU = replace(CFG, lru=True, shadow=True)
+for _n, _c in (("guidepost", GUIDEPOST), ("lru", LRU), ("guidepost_lru", replace(GUIDEPOST, lru=True)), ("guidepost_sigma", replace(GUIDEPOST, policy="guidepost_sigma", feature="mink"))):
+    _register(f"route_{_n}", lambda p: p.decisions, None, cfg=_c, copies=2)
+_register("report_guidepost", _report, None, cfg=GUIDEPOST, copies=2)
+_register("gp_part_stats", lambda p: reports.hit_statistics(p.decisions), None, cfg=GUIDEPOST, copies=2)
+_register("gp_route_volumes", lambda p: reports.route_volumes(p.decisions, p.cfg), None, cfg=GUIDEPOST, copies=2)
+_register("prediction_matrix", lambda p: reports.prediction_matrix(p.decisions), None, cfg=GUIDEPOST, copies=2)
+_register("container_locality", lambda p: reports.locality(p.features, nodes.feature_index(p.features, p.stateless, CFG), p.stateless, CFG.features), None, copies=2)
