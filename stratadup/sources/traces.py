@@ -130,7 +130,6 @@ class Trace:
             at = self.at
             self._skip(chunks * self.record.itemsize)
             records = np.frombuffer(self.raw, self.record, chunks, at)
-            stat = stat[:9] if len(stat) >= 9 else (None,) * 9
             yield (self.name, no, path, size, *stat, chunks, target), records
 
     def _skip(self, n: int) -> None:
@@ -187,7 +186,6 @@ def read(spark: SparkSession, path: str, table: str = "chunks", mode: str = "FAI
 
     Files that start with a dot are skipped. With mode PERMISSIVE unreadable traces give no rows.
     """
-    import pyarrow as pa
 
     def parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -199,7 +197,6 @@ def read(spark: SparkSession, path: str, table: str = "chunks", mode: str = "FAI
                         raise
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    assert pa
     return files.mapInPandas(parse, SCHEMAS[table])
 
 
