@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from stratadup.llm.textkit import Memo, column
 
 MARK = "▁"
-MEMO_ENTRIES = 800_000
+MEMO_ENTRIES = 1_400_000
 _MASK = 2**64 - 1
 
 
@@ -38,7 +38,7 @@ class Dropout:
 
     rate: float = 0.1
     seed: int = 0
-    variants: int = 4
+    variants: int = 2
 
 
 class Codec:
@@ -62,9 +62,15 @@ class Codec:
             self.raw[i] = p.replace(MARK, " ").encode()
         for b, i in self.byte_ids.items():
             self.raw[i] = bytes([b])
+        # what stands before a closing mark in some piece; elsewhere the mark is a symbol of its own
+        self.before = {c: {p[i - 1] for p in self.ids for i in range(1, len(p)) if p[i] == c} | {MARK} for c in ".," if c in self.ids}
+        self.alone = {c: np.array([self.ids[c]], "<u4").tobytes() for c in self.before}
+        self.feed = np.array([self.byte_ids[10]], "<u4").tobytes() if not any("\n" in p for p in self.ids) else None
         self.dropout = dropout
         self.chunks = regex.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.memo = [Memo(lambda c, v=v: self._chunk(MARK + c, v), memo_entries // max(dropout.variants, 1)) for v in range(max(dropout.variants, 1))]
+        count = max(dropout.variants, 1)
+        self.memo = [Memo(lambda c, v=v: self._parts(MARK, c, v), memo_entries // count) for v in range(count)]
+        self.inner = [Memo(lambda c, v=v: self._parts("", c, v), memo_entries // 4 // count) for v in range(count)]
 
     def variant(self, doc_id) -> int:
         if not self.dropout.rate:
@@ -83,21 +89,15 @@ class Codec:
         symbols = list(symbols)
         size = [1] * n  # characters in the symbol that begins here; 0 where none begins
         before = list(range(-1, n - 1))
-        agenda = []
-
-        def offer(i: int, j: int) -> None:
-            piece = symbols[i] + symbols[j]
-            score = scores.get(piece)
-            if score is not None:
-                heapq.heappush(agenda, (-score, i, size[i] + size[j], piece))
-
-        for i in range(n - 1):
-            offer(i, i + 1)
+        find, push = scores.get, heapq.heappush
+        pieces = [x + y for x, y in zip(symbols, symbols[1:], strict=False)]
+        agenda = [(-score, i, 2, p) for i, p in enumerate(pieces) if (score := find(p)) is not None]
+        heapq.heapify(agenda)
         while agenda:
             _, i, length, piece = heapq.heappop(agenda)
             j = i + size[i]
-            if not size[i] or j >= n or size[i] + size[j] != length or symbols[i] + symbols[j] != piece:
-                continue
+            if j == i or j >= n or size[i] + size[j] != length:
+                continue  # a place and a length name one piece of the text
             if rate:
                 h = ((key ^ (i * 0x9E3779B97F4A7C15) ^ (length * 0xC2B2AE3D27D4EB4F)) * 0xFF51AFD7ED558CCD) & _MASK
                 if ((h ^ (h >> 33)) * 0xC4CEB9FE1A85EC53) & _MASK < limit:
@@ -107,11 +107,23 @@ class Codec:
             end = i + length
             if end < n:
                 before[end] = i
-                offer(i, end)
-            if before[i] >= 0:
-                offer(before[i], i)
+                if (score := find(p := piece + symbols[end])) is not None:
+                    push(agenda, (-score, i, length + size[end], p))
+            left = before[i]
+            if left >= 0 and (score := find(p := symbols[left] + piece)) is not None:
+                push(agenda, (-score, left, size[left] + length, p))
         return [symbols[i] for i in range(n) if size[i]]
 
+    def _parts(self, mark: str, chunk: str, variant: int) -> bytes:
+        """A chunk cut at line feeds and before a closing mark, where no piece reaches across."""
+        if self.feed is not None and "\n" in chunk:
+            first, *others = chunk.split("\n")
+            head = (self.memo if mark else self.inner)[variant][first]
+            return head + b"".join(self.feed + self.inner[variant][c] for c in others)
+        if len(chunk) > 1 and chunk[-1] in self.before and chunk[-2] not in self.before[chunk[-1]]:
+            return (self.memo if mark else self.inner)[variant][chunk[:-1]] + self.alone[chunk[-1]]
+        return self._chunk(mark + chunk, variant)
+
     def _chunk(self, chunk: str, variant: int) -> bytes:
         out: list[int] = []
         for piece in self.segment(list(chunk), variant):
