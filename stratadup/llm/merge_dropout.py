@@ -38,7 +38,7 @@ class Dropout:
 
     rate: float = 0.1
     seed: int = 0
-    variants: int = 2
+    variants: int = 4
 
 
 class Codec:
