@@ -2,6 +2,11 @@
 
 quality rules -> line classifier -> near duplicates -> repeated passages -> packing. A stage is
 a function of (spark, docs, sf_dir); all but the last return the columns of `documents`.
+
+Null texts count as empty: the rules reject them. Rows without an id leave with the first stage.
+Rows that share an id all stay if the rules keep one of them, and are classified each for itself;
+of those that are left the near-duplicate stage keeps the one with the least text. An empty table stays
+empty. Columns that `documents` does not have are dropped.
 """
 
 from __future__ import annotations
@@ -36,7 +41,11 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each linked group stays."""
-    return _keep(docs, ngram_join.link(docs).where("doc_id = component_id"))
+    kept = _keep(docs, ngram_join.link(docs).where("doc_id = component_id"))
+    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        least = kept.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r"))
+        kept = least.select("doc_id", "r.*").select(*COLUMNS)
+    return kept
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import sys
 
 import pytest
+from pyspark.sql import functions as F
 from test_corpus_operators import brute_components, brute_removal
 from test_text_operators import check_packing
 
@@ -40,3 +41,15 @@ def test_stages_on_the_smallest_tables(spark):
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, sf).toPandas()
     pieces["doc_id"] = pieces["doc_id"].map({d: i for i, d in enumerate(ids)})
     check_packing(list(pieces.itertuples(index=False)), [before[d].text for d in ids], 1024)
+
+
+def test_stages_on_odd_tables(spark, docs, nothing):
+    sf = "/root/testdata/sf0.001"
+    odd = docs.union(docs).union(docs.withColumn("doc_id", F.lit(None).cast("long")))
+    for table, empty in ((odd, False), (nothing, True)):
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            table = stage(spark, table, sf).cache()
+            assert table.columns == corpus_pipeline.COLUMNS, name
+            assert bool(table.count()) != empty
+        assert table.count() == table.select("doc_id").distinct().count()
+        assert bool(corpus_pipeline.STAGES[-1][1](spark, table, sf).count()) != empty
