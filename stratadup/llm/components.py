@@ -15,6 +15,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     ones, until nothing changes. A node's neighbours meet only in aggregates and joins.
     """
     e = durable(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v").distinct())
+    mark = _mark(e)
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -22,9 +23,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         small = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(small, "u")
         after = joined.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct()
-        after = durable(after)
-        if not after.join(e, ["u", "v"], "left_anti").limit(1).count() and not e.join(after, ["u", "v"], "left_anti").limit(1).count():
+        e = durable(after)
+        before, mark = mark, _mark(e)
+        if mark == before:
             break
-        e = after
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)
+
+
+def _mark(edges: DataFrame) -> tuple:
+    """Tells edge sets apart: their number and the sums of two hashes."""
+    sums = [F.sum(F.xxhash64(F.lit(k), "u", "v").cast("decimal(38,0)")) for k in (1, 2)]
+    return tuple(edges.agg(F.count("*"), *sums).first())

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,10 +24,50 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """Executions begun inside delete their shuffle files when they end: what they wrote is what
+    later steps read, and a lost executor's part of that lies in the shared folder."""
+    old = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if old is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, old)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """The same rows, written once to the shared folder and read from there."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    with _cleaned(df.sparkSession):
+        return df.select("*").checkpoint()
+
+
+class Scratch:
+    """Tables written to the shared folder as Parquet, for results that are large but short-lived.
+
+    `clear` deletes them; frames that still read them are then of no use.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.base = spark, f"{shared_dir(spark).rstrip('/')}/scratch_{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        at = f"{self.base}/{uuid.uuid4().hex}"
+        with _cleaned(self.spark):
+            df.write.parquet(at)
+        return self.spark.read.parquet(at)
+
+    def clear(self) -> None:
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(self.base)
+        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def mounted_dir(spark: SparkSession) -> str:

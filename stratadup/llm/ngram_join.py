@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from stratadup.llm import textkit
 from stratadup.llm.components import components
-from stratadup.llm.durable import durable
+from stratadup.llm.durable import Scratch, durable
 from stratadup.llm.substring_dedup import BitArrays, _id_cells
 from stratadup.llm.textkit import column, signed
 
@@ -67,7 +67,12 @@ def fragment_of(hashes: np.ndarray, fragments: int) -> np.ndarray:
 
 
 def shared_counts(rows: DataFrame, size: int, fragments: int) -> DataFrame:
-    """Rows (doc_id, n, shared): the set's size, and how many of its n-grams occur elsewhere."""
+    """Rows (doc_id, n, shared): the set's size, and how many of its n-grams occur elsewhere.
+
+    What several documents of a slice share is counted there, and goes on as a bare hash; so a
+    frequent n-gram reaches its fragment once per slice, not once per document. Rows that
+    repeat an id count for each other.
+    """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.slices(batches, limit=SLICE):
@@ -76,45 +81,79 @@ def shared_counts(rows: DataFrame, size: int, fragments: int) -> DataFrame:
             doc = np.repeat(np.arange(len(ids)), np.diff(bounds))
             order = np.argsort(hashes, kind="stable")
             hashes, doc = hashes[order], doc[order]
+            known = _in_runs(hashes)
             edge = np.searchsorted(fragment_of(hashes, fragments), np.arange(fragments + 1))
-            out: list[list] = [[], [], [], []]
+            out: list[list] = [[] for _ in SEGMENT]
             for f in range(fragments):
-                h, d = hashes[edge[f] : edge[f + 1]], doc[edge[f] : edge[f + 1]]
-                if len(h):
-                    by = np.argsort(d, kind="stable")
-                    own, count = np.unique(d, return_counts=True)
-                    for c, v in zip(out, (f, ids[own].tobytes(), count.astype("<i4").tobytes(), h[by].tobytes()), strict=True):
-                        c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32())] + [pa.array(c, pa.binary()) for c in out[1:]], names=["fragment", "ids", "counts", "hashes"])
+                part = slice(edge[f], edge[f + 1])
+                h, d, k = hashes[part], doc[part], known[part]
+                if not len(h):
+                    continue
+                own, inverse = np.unique(d, return_inverse=True)
+                n, inside = np.bincount(inverse), np.bincount(inverse, k).astype("<i4")
+                by = np.argsort(d[~k], kind="stable")
+                values = (f, ids[own].tobytes(), n.astype("<i4").tobytes(), inside.tobytes(), h[~k][by].tobytes(), np.unique(h[k]).tobytes())
+                for c, v in zip(out, values, strict=True):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32())] + [pa.array(c, pa.binary()) for c in out[1:]], names=SEGMENT)
 
     def count(table: pa.Table) -> pa.Table:
-        join = lambda name, kind: np.frombuffer(b"".join(table[name].to_pylist()), kind)
-        h = join("hashes", "<u8")
-        ids = np.repeat(join("ids", "<i8"), join("counts", "<i4"))
+        ids, n, inside = _joined(table, "ids", "<i8"), _joined(table, "n", "<i4"), _joined(table, "inside", "<i4")
+        single, marks = _joined(table, "hashes", "<u8"), _joined(table, "marks", "<u8")
+        h = np.concatenate((single, marks))
         order = np.argsort(h, kind="stable")
-        h, ids = h[order], ids[order]
-        same = np.zeros(len(h) + 1, bool)
-        same[1:-1] = h[1:] == h[:-1]
-        both = same[:-1] | same[1:]
-        once = np.ones(len(h), bool)
-        if both.any():  # rows that repeat an id may bring an n-gram twice
-            at = np.flatnonzero(both)
-            by = at[np.lexsort((ids[at], h[at]))]
-            again = np.zeros(len(by), bool)
-            again[1:] = (h[by][1:] == h[by][:-1]) & (ids[by][1:] == ids[by][:-1])
-            once[by[again]] = False
-            run = np.cumsum(np.concatenate(([True], h[by][1:] != h[by][:-1]))) - 1
-            both[by] = np.bincount(run, ~again)[run] > 1
-        doc, inverse = np.unique(ids[once], return_inverse=True)
-        n = np.bincount(inverse, minlength=len(doc))
-        shared = np.bincount(inverse, both[once], minlength=len(doc)).astype(np.int64)
-        return pa.table({"doc_id": pa.array(doc), "n": pa.array(n.astype(np.int64)), "shared": pa.array(shared)})
-
-    cuts = rows.mapInArrow(cut, "fragment int, ids binary, counts binary, hashes binary")
+        found = np.empty(len(h), bool)
+        found[order] = _in_runs(h[order])
+        doc, inverse = np.unique(ids, return_inverse=True)
+        shared = np.bincount(inverse, inside, len(doc)) + np.bincount(np.repeat(inverse, n - inside), found[: len(single)], len(doc))
+        total = np.bincount(inverse, n, len(doc))
+        return pa.table({"doc_id": pa.array(doc), "n": pa.array(total.astype(np.int64)), "shared": pa.array(shared.astype(np.int64))})
+
+    cuts = rows.mapInArrow(cut, "fragment int, ids binary, n binary, inside binary, hashes binary, marks binary")
     found = cuts.groupBy("fragment").applyInArrow(count, "doc_id long, n long, shared long")
     return found.groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("shared").alias("shared"))
 
 
+SEGMENT = ["fragment", "ids", "n", "inside", "hashes", "marks"]
+
+
+def _in_runs(ordered: np.ndarray) -> np.ndarray:
+    """Which values of an ordered array have an equal neighbour."""
+    same = np.zeros(len(ordered) + 1, bool)
+    same[1:-1] = ordered[1:] == ordered[:-1]
+    return same[:-1] | same[1:]
+
+
+def _joined(table: pa.Table, name: str, kind: str) -> np.ndarray:
+    return np.frombuffer(b"".join(table[name].to_pylist()), kind)
+
+
+def frequencies(sets: DataFrame, fragments: int) -> DataFrame:
+    """Rows (h, df) of the n-grams that several of the sets (doc_id, hashes) have.
+
+    Hashes travel in binary blocks per fragment, distinct and counted within each slice."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                h, c = np.unique(column(batch, "hashes").slice(at, 2000).flatten().to_numpy().view(np.uint64), return_counts=True)
+                edge = np.searchsorted(fragment_of(h, fragments), np.arange(fragments + 1))
+                used = [f for f in range(fragments) if edge[f] < edge[f + 1]]
+                parts = [slice(edge[f], edge[f + 1]) for f in used]
+                yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([h[p].tobytes() for p in parts], pa.binary()), pa.array([c[p].astype("<i4").tobytes() for p in parts], pa.binary())], names=["fragment", "hashes", "counts"])
+
+    def count(table: pa.Table) -> pa.Table:
+        h, c = _joined(table, "hashes", "<u8"), _joined(table, "counts", "<i4").astype(np.int64)
+        order = np.argsort(h, kind="stable")
+        h, c = h[order], c[order]
+        first = np.flatnonzero(np.concatenate(([True], h[1:] != h[:-1])))
+        total = np.add.reduceat(c, first)
+        return pa.table({"h": pa.array(signed(h[first][total > 1])), "df": pa.array(total[total > 1])})
+
+    cuts = sets.mapInArrow(cut, "fragment int, hashes binary, counts binary")
+    return cuts.groupBy("fragment").applyInArrow(count, "h long, df long")
+
+
 def _sets_of(rows: DataFrame, survivors: DataFrame, size: int) -> DataFrame:
     """Rows (doc_id, hashes) of the survivors, and of few others that the bit array lets pass."""
 
@@ -172,56 +211,66 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, per_fragment: int =
     its least id. Null texts have empty sets and link with nothing. Rows with equal ids pool
     their n-grams; rows with a null id take no part.
     """
+    from pyspark.sql import Window
+
+    spark = docs.sparkSession
     rows = docs.where(docs["doc_id"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    fragments = max(8, rows.select("doc_id").count() // per_fragment)
+    n_rows = rows.select("doc_id").count()
+    fragments = max(8, n_rows // per_fragment)
     counts = durable(shared_counts(rows, size, fragments))
-    survivors = counts.where(100 * F.col("shared") >= percent * F.col("n"))
-
-    sets = _sets_of(rows, survivors, size)
-    grouped = sets.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("hashes"))).alias("hashes")) if _repeats(rows) else sets
-    sets = durable(grouped.where(F.size("hashes") > 0))
+    survivors = counts.where(100 * F.col("shared") >= percent * F.col("n")).select("doc_id")
+    repeated = durable(rows.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    any_repeated = bool(repeated.limit(1).count())
+
+    scratch = Scratch(spark)
+    sets = _sets_of(rows, survivors.unionByName(repeated), size)
+    if any_repeated:
+        pooled = sets.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("hashes"))).alias("hashes"))
+        sets = scratch.keep(pooled.where(F.size("hashes") > 0))
+        exact = sets.select("doc_id", F.size("hashes").cast("long").alias("pooled"))
+        counts = durable(counts.join(exact, "doc_id", "left").select("doc_id", F.coalesce("pooled", "n").alias("n")))
+    else:
+        sets = scratch.keep(sets.where(F.size("hashes") > 0))
     signed_sets = durable(_signatures(sets))
-    classes = signed_sets.groupBy("a", "b").agg(F.min("doc_id").alias("rep"), F.count("*").alias("members"))
+    classes = signed_sets.groupBy("a", "b").agg(F.min("doc_id").alias("rep"))
     member = durable(signed_sets.join(classes, ["a", "b"]).select("doc_id", "rep"))
 
-    reps = sets.join(member.where("doc_id = rep").select("doc_id"), "doc_id")
-    grams = reps.select("doc_id", F.size("hashes").cast("long").alias("n"), F.explode("hashes").alias("h"))
-    common = grams.groupBy("h").agg(F.count("*").alias("df")).where("df > 1")
+    reps = scratch.keep(sets.join(member.where("doc_id = rep").select("doc_id"), "doc_id"))
+    common = frequencies(reps, max(8, fragments // 4))
+    grams = reps.select("doc_id", F.size("hashes").cast("int").alias("n"), F.explode("hashes").alias("h"))
     shared = grams.join(common, "h")
-    from pyspark.sql import Window
-
     by_doc = Window.partitionBy("doc_id")
     ranked = shared.withColumn("k", F.row_number().over(by_doc.orderBy("df", "h"))).withColumn("matched", F.count("*").over(by_doc))
     # n-grams of no other document come first in the order
-    ranked = ranked.where(100 * F.col("matched") >= percent * F.col("n")).withColumn("place", F.col("n") - F.col("matched") + F.col("k") - 1)
-    ranked = durable(ranked.select("doc_id", "n", "h", "place"))
+    ranked = ranked.where(100 * F.col("matched") >= percent * F.col("n")).withColumn("place", (F.col("n") - F.col("matched") + F.col("k") - 1).cast("int"))
+    ranked = scratch.keep(ranked.select("doc_id", "n", "h", "place"))
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     lists = ranked.where(F.col("place") < prefix).select("h", "doc_id", "n", "place")
-    lists = durable(lists.join(lists.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "h"))
+    lists = scratch.keep(lists.join(lists.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"), "h"))
     fragment = F.pmod(F.shiftright("h", 40), F.lit(verify_fragments)).cast("int")
-    segments = durable(ranked.join(lists.select("doc_id").distinct(), "doc_id").groupBy("doc_id", fragment.alias("fragment")).agg(F.collect_list("h").alias("part")))
+    segments = scratch.keep(ranked.join(lists.select("doc_id").distinct(), "doc_id").groupBy("doc_id", fragment.alias("fragment")).agg(F.collect_list("h").alias("part")))
 
     labels = durable(lists.select("doc_id").distinct().select("doc_id", F.col("doc_id").alias("label")))
-    links = None
     n_docs = labels.count()
-    for step in range(rounds + 1):
+    for step in range(rounds + 1 if n_docs else 0):
         current = lists.join(labels, "doc_id")
+        last = step == rounds
         if step:
             sizes = current.groupBy("h", "label").agg(F.count("*").alias("c")).groupBy("h").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q")).where("m * m > q")
-            left = sizes.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()[0] or 0
+            left = sizes.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()[0]
             if not left:
                 break
             current = current.join(sizes.select("h"), "h")
-        else:
-            left = float("inf")
-        last = step == rounds or left <= 4 * n_docs
+            last = last or left <= 20 * n_rows
         pairs = _all_pairs(current, percent) if last else _hub_pairs(current, percent, step)
-        found = durable(_verify(pairs, segments, percent))
-        links = found if links is None else links.unionByName(found)
-        merged = components(links)
-        labels = durable(labels.select("doc_id").join(merged, F.col("doc_id") == F.col("node"), "left").select("doc_id", F.coalesce("component", "doc_id").alias("label")))
+        found = _verify(pairs, segments, percent)
+        # links between components, not documents: what is linked already needs no second look
+        ends = found.join(labels.select(F.col("doc_id").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("doc_id").alias("b"), F.col("label").alias("lb")), "b")
+        merged = components(ends, "la", "lb")
+        labels = durable(labels.join(merged, F.col("label") == F.col("node"), "left").select("doc_id", F.coalesce("component", "label").alias("label")))
         if last:
             break
+    scratch.clear()
 
     of_member = member.join(labels.select(F.col("doc_id").alias("rep"), "label"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("component_id"))
     ids = rows.select("doc_id").distinct()
@@ -229,10 +278,6 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, per_fragment: int =
     return out.select("doc_id", F.coalesce("n", F.lit(0)).alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _repeats(rows: DataFrame) -> bool:
-    return bool(rows.groupBy("doc_id").count().where("count > 1").limit(1).count())
-
-
 def _near_enough(percent: int) -> Column:
     rest = F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib"))
     return _enough(rest, F.col("na"), F.col("nb"), percent)
