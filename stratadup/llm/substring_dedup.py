@@ -139,12 +139,19 @@ def repeated_places(docs: DataFrame, size: int, inner: int, max_bits: int) -> Da
                 continue
             a, b = (textkit.windows(words.hashes(s), words.bounds, size, s)[0][on] for s in (0, 1))
             ids = column(batch, "doc_id").to_numpy(zero_copy_only=False).astype(np.int64)[doc[on]]
-            yield pa.RecordBatch.from_arrays([pa.array(signed(a)), pa.array(signed(b)), pa.array(ids), pa.array(inside[on].astype(np.int32))], names=["a", "b", "doc_id", "place"])
-
-    rows = docs.mapInArrow(run, "a long, b long, doc_id long, place int")
-    # every document has many windows, so that one window's rows stay a small share of all rows
+            # a window that a document repeats is one row with several places
+            order = np.lexsort((inside[on], b, a, ids))
+            a, b, ids = a[order], b[order], ids[order]
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (ids[1:] != ids[:-1])
+            head = np.flatnonzero(new)
+            places = pa.ListArray.from_arrays(pa.array(np.append(head, len(a)).astype(np.int32)), pa.array(inside[on][order].astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(a[head])), pa.array(signed(b[head])), pa.array(ids[head]), places], names=["a", "b", "doc_id", "places"])
+
+    rows = docs.mapInArrow(run, "a long, b long, doc_id long, places array<int>")
+    # a document brings a window once and has many, so one window's rows stay a small share
     first = F.min("doc_id").over(Window.partitionBy("a", "b"))
-    return rows.withColumn("first", first).where(F.col("doc_id") > F.col("first")).select("doc_id", "place")
+    return rows.withColumn("first", first).where(F.col("doc_id") > F.col("first")).select("doc_id", F.explode("places").alias("place"))
 
 
 def remove_repeats(docs: DataFrame, size: int = 50, inner: int = 8, max_bits: int = 1 << 28) -> DataFrame:
