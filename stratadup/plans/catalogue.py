@@ -105,7 +105,6 @@ def _fixed_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["fixed_chunk_sizes"] = _fixed_sizes
 ORACLES["fixed_chunk_sizes"] = "select doc_id, i as chunk_no, least(size - i * 4096, 4096) as chunk_size from (select doc_id, size, unnest(range(0, (size + 4095) // 4096)) as i from (select doc_id, cast(strlen(text) as bigint) as size from documents) where size > 0)"
 
-_first = Window.partitionBy("fp").orderBy("trace", "file_no", "chunk_no")
 _register(
     "first_occurrence",
     lambda p: p.raw.groupBy("fp").agg(F.min(F.struct("trace", "file_no", "chunk_no")).alias("f")).select("fp", "f.trace", "f.file_no", "f.chunk_no"),
@@ -113,7 +112,7 @@ _register(
 )
 _register(
     "dup_chunks",
-    lambda p: p.raw.withColumn("r", F.row_number().over(_first)).where("r > 1").select("trace", "file_no", "chunk_no", "fp"),
+    lambda p: p.raw.withColumn("r", F.row_number().over(Window.partitionBy("fp").orderBy("trace", "file_no", "chunk_no"))).where("r > 1").select("trace", "file_no", "chunk_no", "fp"),
     _chunks("documents") + "select trace, file_no, chunk_no, fp from (select *, row_number() over (partition by fp order by trace, file_no, chunk_no) as r from raw) where r > 1",
 )
 _register("intra_file_dups", lambda p: p.raw.groupBy("trace", "file_no", "fp").agg(F.count("*").alias("c")).where("c > 1").groupBy("trace", "file_no").agg(F.sum(F.col("c") - 1).cast("long").alias("dups")), _chunks("documents") + "select trace, file_no, cast(sum(c - 1) as bigint) as dups from (select trace, file_no, fp, count(*) as c from raw group by all having count(*) > 1) group by all")
