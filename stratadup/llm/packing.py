@@ -85,20 +85,24 @@ class ByteBpe:
         """The ids of every text."""
         split = [t.split(" ") if self.separable(t) else None for t in texts]
         heads = [s[0] for s in split if s]
+        get, found, gaps = self.parts.get, [], set()
         for s in split:
+            known = None
             if s:
                 del s[0]
-        wanted = set().union(*(s for s in split if s))
-        unknown = wanted.difference(self.parts)
-        new = self.learn(list(unknown)) if unknown else {}
-        # what found no room in the table is looked up beside it
-        get = self.parts.__getitem__ if unknown.issubset(self.parts) else {p: self.parts.get(p) or new[p] for p in wanted}.__getitem__
+                known = list(map(get, s))
+                if None in known:
+                    gaps.update([p for p, v in zip(s, known, strict=True) if v is None])
+            found.append(known)
+        new = self.learn(list(gaps)) if gaps else {}
         first = iter(self.library.encode_batch_fast(heads, add_special_tokens=False))
-        for text, s in zip(texts, split, strict=True):
+        for text, s, known in zip(texts, split, found, strict=True):
             if s is None:
                 yield self.whole(text)
             else:
-                yield np.array(next(first).ids, "<u4").tobytes() + b"".join(map(get, s))
+                if None in known:
+                    known = [new[p] if v is None else v for p, v in zip(s, known, strict=True)]
+                yield np.array(next(first).ids, "<u4").tobytes() + b"".join(known)
 
 
 @lru_cache(maxsize=2)
