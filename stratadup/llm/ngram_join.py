@@ -107,11 +107,23 @@ def shared_counts(rows: DataFrame, size: int, fragments: int) -> DataFrame:
         doc, inverse = np.unique(ids, return_inverse=True)
         shared = np.bincount(inverse, inside, len(doc)) + np.bincount(np.repeat(inverse, n - inside), found[: len(single)], len(doc))
         total = np.bincount(inverse, n, len(doc))
-        return pa.table({"doc_id": pa.array(doc), "n": pa.array(total.astype(np.int64)), "shared": pa.array(shared.astype(np.int64))})
+        # a document has a count in most fragments: these travel in blocks, not as rows
+        bucket = (_id_cells(doc) % np.uint64(fragments)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        edge = np.searchsorted(bucket[order], np.arange(fragments + 1))
+        used = [b for b in range(fragments) if edge[b] < edge[b + 1]]
+        parts = [order[edge[b] : edge[b + 1]] for b in used]
+        block = lambda x, kind: pa.array([x[p].astype(kind).tobytes() for p in parts], pa.binary())
+        return pa.table({"bucket": pa.array(used, pa.int32()), "ids": block(doc, "<i8"), "n": block(total, "<i8"), "shared": block(shared, "<i8")})
+
+    def add(table: pa.Table) -> pa.Table:
+        doc, inverse = np.unique(_joined(table, "ids", "<i8"), return_inverse=True)
+        sums = [np.bincount(inverse, _joined(table, name, "<i8"), len(doc)).astype(np.int64) for name in ("n", "shared")]
+        return pa.table({"doc_id": pa.array(doc), "n": pa.array(sums[0]), "shared": pa.array(sums[1])})
 
     cuts = rows.mapInArrow(cut, "fragment int, ids binary, n binary, inside binary, hashes binary, marks binary")
-    found = cuts.groupBy("fragment").applyInArrow(count, "doc_id long, n long, shared long")
-    return found.groupBy("doc_id").agg(F.sum("n").alias("n"), F.sum("shared").alias("shared"))
+    found = cuts.groupBy("fragment").applyInArrow(count, "bucket int, ids binary, n binary, shared binary")
+    return found.groupBy("bucket").applyInArrow(add, "doc_id long, n long, shared long")
 
 
 SEGMENT = ["fragment", "ids", "n", "inside", "hashes", "marks"]
