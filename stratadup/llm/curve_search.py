@@ -3,15 +3,17 @@
 Vectors get one coordinate more, so that all have the length of the longest and the nearest
 point to a lengthened query is the one with the largest inner product. Several curves order
 them: each projects on random directions, shifts at random, and takes the Hilbert index of the
-grid cell. Rows are range-partitioned by (curve, index); along each curve, blocks of `block`
-vectors form windows of three, in whose middle block a query lies. Every window keeps the
-query's best; the windows of all curves merge.
+grid cell. Rows are range-partitioned by (curve, index) and cut into blocks of `block` vectors.
+On each curve a query meets its own block and so many on either side that they hold `share` of
+all vectors, one on each side at least: recall follows the share, not the number of vectors.
+Every block keeps the query's best; the blocks of all curves merge.
 
 Equal vectors are searched as one, with as many of their least ids as a result can hold.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -28,14 +30,19 @@ _U = np.uint64
 
 @dataclass(frozen=True)
 class Curves:
-    """`dims` * `bits` is below 64; a window holds three blocks."""
+    """`dims` * `bits` is below 64; a query meets `share` of the vectors on a curve, or three blocks."""
 
     count: int = 12
     dims: int = 8
     bits: int = 7
     block: int = 2048
+    share: float = 0.1
     seed: int = 17
 
+    def reach(self, n: int) -> int:
+        """Blocks on either side of a query's own."""
+        return max(1, math.ceil((self.share * n / self.block - 1) / 2))
+
 
 def hilbert(cells: np.ndarray, bits: int) -> np.ndarray:
     """The place of every grid cell along the Hilbert curve; a row is a cell's coordinates.
@@ -154,7 +161,7 @@ def _facts(points: DataFrame, curves: Curves):
 
 
 def _windows(points, query_groups, kind, n, dim, longest, centre, scale, k, curves) -> DataFrame:
-    """Rows (q, group, score): the best of every window that holds a query."""
+    """Rows (q, group, score): the best of every block that a query meets."""
     r = _directions(curves, dim)
     shift = np.random.RandomState(curves.seed + 1).uniform(-0.5, 0.5, curves.count * curves.dims)
     top = (1 << curves.bits) - 1
@@ -196,7 +203,8 @@ def _windows(points, query_groups, kind, n, dim, longest, centre, scale, k, curv
     blocks = ordered.groupBy("part").agg((F.max("block") + 1).cast("long").alias("n"))  # one row per partition
     first = blocks.select(F.col("part").alias("_part"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("first"))
     placed = ordered.join(F.broadcast(first), ordered["part"] == first["_part"]).withColumn("at", F.col("first") + F.col("block"))
-    near = F.when(F.col("query"), F.array(F.col("at") - 1, F.col("at"), F.col("at") + 1)).otherwise(F.array("at"))
+    reach = curves.reach(n)
+    near = F.when(F.col("query"), F.sequence(F.col("at") - reach, F.col("at") + reach)).otherwise(F.array("at"))
     placed = placed.select(F.explode(near).alias("at"), "group", "query", "v")
     best_of = k + 5
 

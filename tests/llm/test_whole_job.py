@@ -1,6 +1,8 @@
 import random
 
-from stratadup.llm import robust_rules
+import numpy as np
+
+from stratadup.llm import curve_search, robust_rules
 
 
 def test_planted_junk_of_every_coordinate_is_rejected(spark):
@@ -28,3 +30,18 @@ def test_planted_junk_of_every_coordinate_is_rejected(spark):
         assert not any(got[i].kept for i in ids), name
     plain = set(got) - {i for ids in junk.values() for i in ids}
     assert sum(got[i].kept for i in plain) >= 0.98 * len(plain)
+
+
+def test_recall_holds_when_three_blocks_are_a_small_part(spark):
+    rng = np.random.RandomState(2)
+    x = rng.normal(size=(4000, 32)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    found = curve_search.search(table, "vec_id", "embedding", lambda c: c % 80 == 0, 20, curve_search.Curves(block=32)).collect()
+    got = {(r.query_id, r.vec_id) for r in found}
+    want = set()
+    for q in range(0, 4000, 80):
+        s = x @ x[q]
+        s[q] = -np.inf
+        want |= {(q, int(i)) for i in np.argsort(-s)[:20]}
+    assert len(got & want) >= 0.9 * len(want)
