@@ -1,14 +1,15 @@
 """SentencePiece merging with seeded dropout, and its lossless inverse.
 
 An agenda holds adjacent symbols whose union is a piece, best score first, leftmost on a tie.
-A candidate taken from the agenda is skipped when a hash of (seed, variant, chunk, its place)
-falls below the dropout rate. The hash is keyed, not drawn: the same seed gives the same pieces
-on any worker. A document's variant is a hash of its id, so equal words differ between
-documents. With no dropout the pieces are the library's.
+Every candidate taken from the agenda is skipped with the dropout rate. Draws are keyed by
+(seed, document id, place of the chunk in the text), so every occurrence of a word is segmented
+for itself and the same seed gives the same pieces on any worker. A draw tells how many
+candidates pass before the next one is skipped. With no dropout the pieces are the library's.
 
 White space becomes the mark U+2581; a mark that is in the text itself is written in bytes, so
 that decoding restores every text. No piece has a mark behind another character, so chunks
-(marks, then other characters) merge by themselves and are remembered in a bounded table.
+(marks, then other characters) merge by themselves; what a chunk gives after which skips is
+remembered in a bounded table, which changes no result.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -25,20 +27,27 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from stratadup.llm.textkit import Memo, column
+from stratadup.llm.textkit import Memo, column, mix
 
 MARK = "▁"
 MEMO_ENTRIES = 1_400_000
+LONG = 24  # candidates from which skips are drawn while merging, and nothing is remembered
 _MASK = 2**64 - 1
 
 
 @dataclass(frozen=True)
 class Dropout:
-    """`variants` bounds how many segmentations of a chunk one seed can give."""
-
     rate: float = 0.1
     seed: int = 0
-    variants: int = 4
+
+
+class Merged:
+    """A chunk's ids after some skips, the candidates met on the way, and what further skips give."""
+
+    __slots__ = ("chunk", "ids", "met", "skips", "then")
+
+    def __init__(self, chunk: str, skips: tuple[int, ...], ids: bytes, met: int):
+        self.chunk, self.skips, self.ids, self.met, self.then = chunk, skips, ids, met, None
 
 
 class Codec:
@@ -64,28 +73,34 @@ class Codec:
             self.raw[i] = bytes([b])
         # what stands before a closing mark in some piece; elsewhere the mark is a symbol of its own
         self.before = {c: {p[i - 1] for p in self.ids for i in range(1, len(p)) if p[i] == c} | {MARK} for c in ".," if c in self.ids}
-        self.alone = {c: np.array([self.ids[c]], "<u4").tobytes() for c in self.before}
-        self.feed = np.array([self.byte_ids[10]], "<u4").tobytes() if not any("\n" in p for p in self.ids) else None
+        fixed = lambda i: Merged("", (), np.array([i], "<u4").tobytes(), 0)
+        self.alone = {c: fixed(self.ids[c]) for c in self.before}
+        self.mark = Merged("", (), np.array([self.byte_ids[b] for b in MARK.encode()], "<u4").tobytes(), 0)
+        self.feed = fixed(self.byte_ids[10]) if not any("\n" in p for p in self.ids) else None
         self.dropout = dropout
         self.chunks = regex.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-        count = max(dropout.variants, 1)
-        self.memo = [Memo(lambda c, v=v: self._parts(MARK, c, v), memo_entries // count) for v in range(count)]
-        self.inner = [Memo(lambda c, v=v: self._parts("", c, v), memo_entries // 4 // count) for v in range(count)]
-
-    def variant(self, doc_id) -> int:
-        if not self.dropout.rate:
-            return 0
-        raw = hashlib.blake2b(f"{self.dropout.seed}|{doc_id}".encode(), digest_size=8).digest()
-        return int.from_bytes(raw, "little") % len(self.memo)
-
-    def segment(self, symbols: list[str], variant: int) -> list[str]:
-        """Merge symbols by the agenda; `symbols` are single characters."""
-        scores, rate, n = self.scores, self.dropout.rate, len(symbols)
-        limit = int(rate * 2**64)
-        key = 0
-        if rate:
-            text = f"{self.dropout.seed}|{variant}|{''.join(symbols)}"
-            key = int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+        self.memo = Memo(lambda c: self._parts(MARK, c), memo_entries // 4)
+        self.inner = Memo(lambda c: self._parts("", c), memo_entries // 8)
+        self.room = memo_entries // 2
+        self.seed = int.from_bytes(hashlib.blake2b(f"{dropout.seed}".encode(), digest_size=8).digest(), "little")
+        # entry m - 1 from behind: draws below it, of 2**53, let m candidates or more pass
+        self.passing = [int((1 - dropout.rate) ** m * 2**53) for m in range(int(37 / dropout.rate) + 1, 0, -1)] if dropout.rate else []
+        self.table = np.array(self.passing, np.uint64)
+
+    def key(self, doc_id) -> int:
+        """What a document's draws are keyed by."""
+        return int.from_bytes(hashlib.blake2b(f"{doc_id}".encode(), digest_size=8).digest(), "little")
+
+    def _next(self, draw: int, k: int) -> int:
+        """Candidates that pass after the k-th skip, before the next one."""
+        h = ((draw ^ (k * 0x9E3779B97F4A7C15)) * 0xFF51AFD7ED558CCD) & _MASK
+        h = ((h ^ (h >> 33)) * 0xC4CEB9FE1A85EC53) & _MASK
+        return len(self.passing) - bisect_right(self.passing, (h ^ (h >> 33)) >> 11)
+
+    def segment(self, symbols: list[str], skips: Iterator[int]) -> tuple[list[str], int]:
+        """Merge symbols by the agenda; `symbols` are single characters. `skips` are rising numbers
+        of candidates to skip, -1 at the end. Gives the pieces and the number of candidates met."""
+        scores, n, met, skip = self.scores, len(symbols), 0, next(skips)
         symbols = list(symbols)
         size = [1] * n  # characters in the symbol that begins here; 0 where none begins
         before = list(range(-1, n - 1))
@@ -98,10 +113,10 @@ class Codec:
             j = i + size[i]
             if j == i or j >= n or size[i] + size[j] != length:
                 continue  # a place and a length name one piece of the text
-            if rate:
-                h = ((key ^ (i * 0x9E3779B97F4A7C15) ^ (length * 0xC2B2AE3D27D4EB4F)) * 0xFF51AFD7ED558CCD) & _MASK
-                if ((h ^ (h >> 33)) * 0xC4CEB9FE1A85EC53) & _MASK < limit:
-                    continue
+            met += 1
+            if met - 1 == skip:
+                skip = next(skips)
+                continue
             symbols[i] = piece
             size[i], size[j] = length, 0
             end = i + length
@@ -112,21 +127,25 @@ class Codec:
             left = before[i]
             if left >= 0 and (score := find(p := symbols[left] + piece)) is not None:
                 push(agenda, (-score, left, size[left] + length, p))
-        return [symbols[i] for i in range(n) if size[i]]
+        return [symbols[i] for i in range(n) if size[i]], met
 
-    def _parts(self, mark: str, chunk: str, variant: int) -> bytes:
+    def _parts(self, mark: str, chunk: str) -> tuple[Merged, ...]:
         """A chunk cut at line feeds and before a closing mark, where no piece reaches across."""
         if self.feed is not None and "\n" in chunk:
             first, *others = chunk.split("\n")
-            head = (self.memo if mark else self.inner)[variant][first]
-            return head + b"".join(self.feed + self.inner[variant][c] for c in others)
+            head = (self.memo if mark else self.inner)[first]
+            return head + tuple(m for c in others for m in (self.feed, *self.inner[c]))
         if len(chunk) > 1 and chunk[-1] in self.before and chunk[-2] not in self.before[chunk[-1]]:
-            return (self.memo if mark else self.inner)[variant][chunk[:-1]] + self.alone[chunk[-1]]
-        return self._chunk(mark + chunk, variant)
+            return (*(self.memo if mark else self.inner)[chunk[:-1]], self.alone[chunk[-1]])
+        return (self._merged(mark + chunk, ()),)
 
-    def _chunk(self, chunk: str, variant: int) -> bytes:
+    def _merged(self, chunk: str, skips: tuple[int, ...]) -> Merged:
+        pieces, met = self.segment(list(chunk), iter((*skips, -1)))
+        return Merged(chunk, skips, self._bytes(pieces), met)
+
+    def _bytes(self, pieces: list[str]) -> bytes:
         out: list[int] = []
-        for piece in self.segment(list(chunk), variant):
+        for piece in pieces:
             i = self.ids.get(piece)
             if i is None:
                 out += [self.byte_ids[b] for b in piece.encode()]
@@ -134,24 +153,51 @@ class Codec:
                 out.append(i)
         return np.array(out, "<u4").tobytes()
 
-    def encode(self, text: str, variant: int = 0) -> bytes:
+    def _skipped(self, m: Merged, at: int, draw: int) -> bytes:
+        """The ids of a chunk whose first skip is the candidate `at`."""
+        if m.met > LONG:
+            return self._bytes(self.segment(list(m.chunk), self._skips(at, draw))[0])
+        k = 0
+        while at < m.met:
+            found = m.then.get(at) if m.then else None
+            if found is None:
+                found = self._merged(m.chunk, (*m.skips, at))
+                if self.room > 0:
+                    self.room -= 1
+                    m.then = m.then or {}
+                    m.then[at] = found
+            k += 1
+            m, at = found, at + 1 + self._next(draw, k)
+        return m.ids
+
+    def _skips(self, at: int, draw: int) -> Iterator[int]:
+        k = 0
+        while True:
+            yield at
+            k += 1
+            at += 1 + self._next(draw, k)
+
+    def encode(self, text: str, key: int = 0) -> bytes:
         """The ids of a text, as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        memo = self.memo[variant]
         if MARK in text:
-            mark = np.array([self.byte_ids[b] for b in MARK.encode()], "<u4").tobytes()
             first, *others = text.split(MARK)
             # parts behind a literal mark do not begin with the mark that opens a text
-            return self._spaced(MARK + first.replace(" ", MARK), variant) + b"".join(mark + self._spaced(p.replace(" ", MARK), variant) for p in others)
-        parts = text.split(" ")
-        if "" in parts:
-            return self._spaced(MARK + text.replace(" ", MARK), variant)
-        return b"".join(map(memo.__getitem__, parts))
+            found = self._spaced(MARK + first.replace(" ", MARK))
+            for p in others:
+                found += [self.mark, *self._spaced(p.replace(" ", MARK))]
+        else:
+            parts = text.split(" ")
+            found = self._spaced(MARK + text.replace(" ", MARK)) if "" in parts else [m for p in map(self.memo.__getitem__, parts) for m in p]
+        if not self.dropout.rate:
+            return b"".join([m.ids for m in found])
+        draws = mix(np.arange(len(found), dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + np.uint64(key ^ self.seed), 7)
+        passes = (len(self.passing) - np.searchsorted(self.table, draws >> np.uint64(11), "right")).tolist()
+        return b"".join([m.ids if n >= m.met else self._skipped(m, n, int(draws[i])) for i, (m, n) in enumerate(zip(found, passes, strict=True))])
 
-    def _spaced(self, marked: str, variant: int) -> bytes:
-        memo = self.memo[variant]
-        return b"".join(memo[c[1:]] if c[0] == MARK else self._chunk(c, variant) for c in self.chunks.findall(marked))
+    def _spaced(self, marked: str) -> list[Merged]:
+        return [m for c in self.chunks.findall(marked) for m in (self.memo[c[1:]] if c[0] == MARK else (self._merged(c, ()),))]
 
     def decode(self, ids: bytes) -> bytes:
         """The text's UTF-8 bytes: the opening white space is taken off."""
@@ -169,7 +215,7 @@ def encode(docs: DataFrame, model: str, dropout: Dropout = Dropout()) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model, dropout)
         for batch in batches:
-            ids = [np.frombuffer(c.encode(t or "", c.variant(d)), "<u4").astype(np.int32) for d, t in zip(column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist(), strict=True)]
+            ids = [np.frombuffer(c.encode(t or "", c.key(d)), "<u4").astype(np.int32) for d, t in zip(column(batch, "doc_id").to_pylist(), column(batch, "text").to_pylist(), strict=True)]
             bounds = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))], names=["doc_id", "ids"])
 
@@ -201,7 +247,7 @@ def round_trip(docs: DataFrame, model: str, dropout: Dropout = Dropout()) -> Dat
         for batch in batches:
             out: list[list] = [[], [], [], []]
             for d, t in zip(column(batch, "doc_id").to_pylist(), column(batch, "text"), strict=True):
-                ids, raw = c.encode(t.as_py() or "", c.variant(d)), t.as_buffer().to_pybytes() if t.is_valid else b""
+                ids, raw = c.encode(t.as_py() or "", c.key(d)), t.as_buffer().to_pybytes() if t.is_valid else b""
                 for o, x in zip(out, (len(raw), len(ids) // 4, zlib.crc32(ids), c.decode(ids) == raw), strict=True):
                     o.append(x)
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *[pa.array(o, pa.int64()) for o in out[:3]], pa.array(out[3], pa.bool_())], names=["doc_id", "n_bytes", "n_pieces", "ids_crc32", "lossless"])

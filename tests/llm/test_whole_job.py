@@ -1,8 +1,9 @@
 import random
 
 import numpy as np
+import public_tokenizers as P
 
-from stratadup.llm import curve_search, robust_rules
+from stratadup.llm import curve_search, merge_dropout, robust_rules
 
 
 def test_planted_junk_of_every_coordinate_is_rejected(spark):
@@ -45,3 +46,33 @@ def test_recall_holds_when_three_blocks_are_a_small_part(spark):
         s[q] = -np.inf
         want |= {(q, int(i)) for i in np.argsort(-s)[:20]}
     assert len(got & want) >= 0.9 * len(want)
+
+
+def test_every_occurrence_is_segmented_for_itself(spark):
+    path, word = P.path("piece_bpe_32k.model"), "internationalization"
+    docs = spark.createDataFrame([(i, " ".join([word] * 200)) for i in range(20)], "doc_id long, text string")
+    rows = merge_dropout.encode(docs, path).collect()
+    raw = merge_dropout.Codec(path, merge_dropout.Dropout(0.0)).raw
+    seen = []
+    for r in rows:
+        words, text = [[]], b""
+        for i in r.ids:
+            if raw[i].startswith(b" ") and words[-1]:
+                words.append([])
+            words[-1].append(i)
+            text += raw[i]
+        assert text.decode() == " " + " ".join([word] * 200)
+        seen.append({tuple(w) for w in words})
+    assert min(map(len, seen)) > 4 and len(set.union(*seen)) > max(map(len, seen))
+    few = [merge_dropout.Codec(path, merge_dropout.Dropout(), n) for n in (0, 10**6)]
+    for r in docs.collect():
+        a, b = (c.encode(r.text, c.key(r.doc_id)) for c in few)
+        assert a == b
+
+
+def test_skips_have_the_dropout_rate():
+    codec = merge_dropout.Codec(P.path("piece_bpe_32k.model"), merge_dropout.Dropout(0.1))
+    first = [codec._next(d * 0x9E3779B97F4A7C15 & (2**64 - 1), 1) for d in range(20000)]
+    for k in range(4):
+        assert abs(sum(n >= k for n in first) / 20000 - 0.9**k) < 0.015
+    assert codec.encode("the " * 3000, 1) != codec.encode("the " * 3000, 2)
