@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -95,14 +98,34 @@ def locality(features: DataFrame, index: DataFrame, decisions: DataFrame, window
 
     Lookups run in (seg_id, fea_pos) order on each decision's node; a lookup of a container is
     near when fewer than `window` other containers were looked up since its last one."""
-    from pyspark.sql import Window
-
     at = features.join(decisions.select("seg_id", "node"), "seg_id").join(index.select("node", "fea", "container_id"), ["node", "fea"])
-    order = Window.partitionBy("node").orderBy("seg_id", "fea_pos")
-    steps = at.withColumn("k", F.row_number().over(order))
-    # fewer than `window` distinct others certainly fit into the last `window` lookups
-    last = F.lag("k").over(Window.partitionBy("node", "container_id").orderBy("k"))
-    return steps.withColumn("near", F.coalesce(F.col("k") - last <= window, F.lit(False))).groupBy("node").agg(F.count("*").alias("lookups"), F.count_if("near").alias("near"))
+    ordered = at.select("node", "seg_id", "fea_pos", "container_id").repartition("node").sortWithinPartitions("node", "seg_id", "fea_pos")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A partition holds whole nodes, one after another; only the last containers are kept."""
+        recent: list[int] = []
+        node, lookups, near = None, 0, 0
+
+        def row() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([node], pa.int32()), pa.array([lookups], pa.int64()), pa.array([near], pa.int64())], names=["node", "lookups", "near"])
+
+        for batch in batches:
+            for k, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if k != node:
+                    if lookups:
+                        yield row()
+                    recent, node, lookups, near = [], k, 0, 0
+                lookups += 1
+                if c in recent:
+                    near += 1
+                    recent.remove(c)
+                recent.append(c)
+                if len(recent) > window:
+                    del recent[0]
+        if lookups:
+            yield row()
+
+    return ordered.select(F.col("node").cast("int").alias("node"), "container_id").mapInArrow(fold, "node int, lookups long, near long")
 
 
 def append_report(report: DataFrame, path: str) -> None:
