@@ -14,8 +14,11 @@ sums over fragments give exact overlaps.
 
 Groups of near copies are not expanded into all pairs. Each n-gram's documents first meet one
 hub, chosen anew by hash in every round; what links becomes one component, and pairs inside a
-component need no test. When few pairs between components are left (or the rounds are used up)
-all of them are tested, so no link between components is lost.
+component need no test. Rounds go on while they thin out the pairs between components; when few
+are left, or no longer get fewer, all of them are tested, so no link between components is lost.
+
+N-grams are told apart by 64-bit hashes: two of m different ones are taken for one with a
+probability of about m * m / 2**65, which could make one pair's overlap too large by one.
 """
 
 from __future__ import annotations
@@ -31,9 +34,9 @@ from stratadup.llm import textkit
 from stratadup.llm.components import components
 from stratadup.llm.durable import Scratch, durable
 from stratadup.llm.substring_dedup import BitArrays, _id_cells
-from stratadup.llm.textkit import column, signed
+from stratadup.llm.textkit import column, pick, released, signed
 
-SLICE = 6 << 20
+HELD = 1 << 20  # hashes that a task gathers before it deals them out
 MAX_BITS = 1 << 28
 
 
@@ -69,64 +72,93 @@ def fragment_of(hashes: np.ndarray, fragments: int) -> np.ndarray:
 def shared_counts(rows: DataFrame, size: int, fragments: int) -> DataFrame:
     """Rows (doc_id, n, shared): the set's size, and how many of its n-grams occur elsewhere.
 
-    What several documents of a slice share is counted there, and goes on as a bare hash; so a
-    frequent n-gram reaches its fragment once per slice, not once per document. Rows that
-    repeat an id count for each other.
+    What several documents of a task's gathered hashes share is counted there, and goes on as a
+    bare hash; so a frequent n-gram reaches its fragment once for HELD hashes, not once per
+    document. Rows that repeat an id count for each other. A bucket is a range of hashed ids;
+    totals of documents pass the fragments by, as fragments with negative numbers.
     """
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in textkit.slices(batches, limit=SLICE):
+        held, total = [], 0
+        for batch in textkit.slices(batches):
             hashes, bounds = shingle_sets(column(batch, "text"), size)
-            ids = column(batch, "doc_id").to_numpy().astype(np.int64)
-            doc = np.repeat(np.arange(len(ids)), np.diff(bounds))
-            order = np.argsort(hashes, kind="stable")
-            hashes, doc = hashes[order], doc[order]
-            known = _in_runs(hashes)
-            edge = np.searchsorted(fragment_of(hashes, fragments), np.arange(fragments + 1))
-            out: list[list] = [[] for _ in SEGMENT]
-            for f in range(fragments):
-                part = slice(edge[f], edge[f + 1])
-                h, d, k = hashes[part], doc[part], known[part]
-                if not len(h):
-                    continue
-                own, inverse = np.unique(d, return_inverse=True)
-                n, inside = np.bincount(inverse), np.bincount(inverse, k).astype("<i4")
-                by = np.argsort(d[~k], kind="stable")
-                values = (f, ids[own].tobytes(), n.astype("<i4").tobytes(), inside.tobytes(), h[~k][by].tobytes(), np.unique(h[k]).tobytes())
-                for c, v in zip(out, values, strict=True):
-                    c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32())] + [pa.array(c, pa.binary()) for c in out[1:]], names=SEGMENT)
-
-    def count(table: pa.Table) -> pa.Table:
-        ids, n, inside = _joined(table, "ids", "<i8"), _joined(table, "n", "<i4"), _joined(table, "inside", "<i4")
+            held.append((hashes, np.diff(bounds), column(batch, "doc_id").to_numpy().astype(np.int64)))
+            total += len(hashes)
+            if total >= HELD:
+                yield deal(held)
+                held, total = [], 0
+        if held:
+            yield deal(held)
+
+    def deal(held: list) -> pa.RecordBatch:
+        hashes, n, ids = (np.concatenate(x) for x in zip(*held, strict=True))
+        doc = np.repeat(np.arange(len(ids), dtype=np.int32), n)
+        order = np.argsort(hashes, kind="stable")
+        hashes, doc = hashes[order], doc[order]
+        known = _in_runs(hashes)
+        inside = np.bincount(doc[known], minlength=len(ids))
+        out: list[list] = [[] for _ in SEGMENT]
+
+        def put(*values) -> None:
+            for c, v in zip(out, values, strict=True):
+                c.append(v)
+
+        for bucket, at in _buckets(ids, fragments):
+            put(-1 - bucket, ids[at].tobytes(), n[at].astype("<i4").tobytes(), inside[at].astype("<i4").tobytes(), b"")
+        marks, single, doc = np.unique(hashes[known]), hashes[~known], doc[~known]
+        edge, marked = (np.searchsorted(fragment_of(h, fragments), np.arange(fragments + 1)) for h in (single, marks))
+        for f in range(fragments):
+            h, d, m = single[edge[f] : edge[f + 1]], doc[edge[f] : edge[f + 1]], marks[marked[f] : marked[f + 1]]
+            if len(h) or len(m):
+                by = np.argsort(d, kind="stable")
+                d = d[by]
+                head = np.flatnonzero(np.diff(d, prepend=-1))
+                put(f, ids[d[head]].tobytes(), np.diff(head, append=len(d)).astype("<i4").tobytes(), h[by].tobytes(), m.tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(out[0], pa.int32())] + [pa.array(c, pa.binary()) for c in out[1:]], names=SEGMENT)
+
+    def count(key: tuple, table: pa.Table) -> pa.Table:
+        ids, n = _joined(table, "ids", "<i8"), _joined(table, "n", "<i4")
+        f = key[0].as_py()
+        if f < 0:
+            return _summed_block(-1 - f, ids, n, _joined(table, "hashes", "<i4"))
         single, marks = _joined(table, "hashes", "<u8"), _joined(table, "marks", "<u8")
         h = np.concatenate((single, marks))
         order = np.argsort(h, kind="stable")
         found = np.empty(len(h), bool)
         found[order] = _in_runs(h[order])
-        doc, inverse = np.unique(ids, return_inverse=True)
-        shared = np.bincount(inverse, inside, len(doc)) + np.bincount(np.repeat(inverse, n - inside), found[: len(single)], len(doc))
-        total = np.bincount(inverse, n, len(doc))
-        # a document has a count in most fragments: these travel in blocks, not as rows
-        bucket = (_id_cells(doc) % np.uint64(fragments)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        edge = np.searchsorted(bucket[order], np.arange(fragments + 1))
-        used = [b for b in range(fragments) if edge[b] < edge[b + 1]]
-        parts = [order[edge[b] : edge[b + 1]] for b in used]
-        block = lambda x, kind: pa.array([x[p].astype(kind).tobytes() for p in parts], pa.binary())
-        return pa.table({"bucket": pa.array(used, pa.int32()), "ids": block(doc, "<i8"), "n": block(total, "<i8"), "shared": block(shared, "<i8")})
+        found = np.concatenate(([0], np.cumsum(found[: len(single)])))
+        end = np.cumsum(n)
+        shared = found[end] - found[end - n]
+        some = shared > 0  # a document has no row where nothing is shared
+        ids, shared = ids[some], shared[some]
+        blocks = [_summed_block(bucket, ids[at], np.zeros(len(at), np.int64), shared[at]) for bucket, at in _buckets(ids, fragments)]
+        return pa.concat_tables(blocks) if blocks else _summed_block(0, *[np.zeros(0, np.int64)] * 3)
 
     def add(table: pa.Table) -> pa.Table:
         doc, inverse = np.unique(_joined(table, "ids", "<i8"), return_inverse=True)
-        sums = [np.bincount(inverse, _joined(table, name, "<i8"), len(doc)).astype(np.int64) for name in ("n", "shared")]
+        sums = [np.bincount(inverse, _joined(table, name, "<i4"), len(doc)).astype(np.int64) for name in ("n", "shared")]
         return pa.table({"doc_id": pa.array(doc), "n": pa.array(sums[0]), "shared": pa.array(sums[1])})
 
-    cuts = rows.mapInArrow(cut, "fragment int, ids binary, n binary, inside binary, hashes binary, marks binary")
+    cuts = rows.mapInArrow(released(cut), "fragment int, ids binary, n binary, hashes binary, marks binary")
     found = cuts.groupBy("fragment").applyInArrow(count, "bucket int, ids binary, n binary, shared binary")
     return found.groupBy("bucket").applyInArrow(add, "doc_id long, n long, shared long")
 
 
-SEGMENT = ["fragment", "ids", "n", "inside", "hashes", "marks"]
+SEGMENT = ["fragment", "ids", "n", "hashes", "marks"]
+
+
+def _buckets(ids: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Bucket numbers, and the places of the ids that fall into them."""
+    bucket = (_id_cells(ids) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    head = np.flatnonzero(np.diff(bucket[order], prepend=-1))
+    for a, b in zip(head.tolist(), [*head[1:].tolist(), len(ids)], strict=True) if len(ids) else ():
+        yield int(bucket[order[a]]), order[a:b]
+
+
+def _summed_block(bucket: int, ids: np.ndarray, n: np.ndarray, shared: np.ndarray) -> pa.Table:
+    block = lambda x, kind: pa.array([x.astype(kind).tobytes()], pa.binary())
+    return pa.table({"bucket": pa.array([bucket], pa.int32()), "ids": block(ids, "<i8"), "n": block(n, "<i4"), "shared": block(shared, "<i4")})
 
 
 def _in_runs(ordered: np.ndarray) -> np.ndarray:
@@ -162,7 +194,7 @@ def frequencies(sets: DataFrame, fragments: int) -> DataFrame:
         total = np.add.reduceat(c, first)
         return pa.table({"h": pa.array(signed(h[first][total > 1])), "df": pa.array(total[total > 1])})
 
-    cuts = sets.mapInArrow(cut, "fragment int, hashes binary, counts binary")
+    cuts = sets.mapInArrow(released(cut), "fragment int, hashes binary, counts binary")
     return cuts.groupBy("fragment").applyInArrow(count, "h long, df long")
 
 
@@ -183,7 +215,7 @@ def _sets_of(rows: DataFrame, survivors: DataFrame, size: int) -> DataFrame:
                 hashes, bounds = shingle_sets(column(part, "text"), size)
                 yield pa.RecordBatch.from_arrays([column(part, "doc_id"), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(signed(hashes)))], names=["doc_id", "hashes"])
 
-    return rows.mapInArrow(run, "doc_id long, hashes array<long>")
+    return rows.mapInArrow(released(run), "doc_id long, hashes array<long>")
 
 
 def _signatures(sets: DataFrame) -> DataFrame:
@@ -200,7 +232,7 @@ def _signatures(sets: DataFrame) -> DataFrame:
                 out.append(pa.array(signed(textkit.mix(total[at[1:]] - total[at[:-1]], seed))))
             yield pa.RecordBatch.from_arrays([batch.column(0), *out], names=["doc_id", "a", "b"])
 
-    return sets.mapInArrow(run, "doc_id long, a long, b long")
+    return sets.mapInArrow(released(run), "doc_id long, a long, b long")
 
 
 def _enough(overlap: Column, a: Column, b: Column, percent: int) -> Column:
@@ -216,25 +248,49 @@ def _verify(pairs: DataFrame, segments: DataFrame, percent: int) -> DataFrame:
     return total.where(_enough(F.col("o"), F.col("na"), F.col("nb"), percent)).select("a", "b")
 
 
-def link(docs: DataFrame, size: int = 5, percent: int = 80, per_fragment: int = 6000, rounds: int = 6, verify_fragments: int = 4) -> DataFrame:
+def link(docs: DataFrame, size: int = 5, percent: int = 80, fragment_bytes: int = 10 << 20, rounds: int = 6, verify_fragments: int = 4) -> DataFrame:
     """Rows (doc_id, n_shingles, component_id), one per document id.
 
     Two documents link when percent/100 of their sets' union is shared; a component is named by
-    its least id. Null texts have empty sets and link with nothing. Rows with equal ids pool
-    their n-grams; rows with a null id take no part.
+    its least id. Null texts and texts without words have empty sets and link with nothing, long
+    texts count whole. Rows with equal ids are one document, whose set is that of all its rows.
+    Rows with a null id are counted each for itself, link with nothing and have no component.
+    Further columns of the table are ignored, whatever their names.
     """
+    docs = pick(docs, "doc_id", "text")
+    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    nameless = _sizes(docs.where("doc_id is null"), size)
+    linked = _link(docs.where("doc_id is not null"), size, percent, fragment_bytes, rounds, verify_fragments)
+    return linked.unionByName(nameless.select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id")))
+
+
+def _sizes(rows: DataFrame, size: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in textkit.slices(batches):
+            n = np.diff(shingle_sets(column(batch, "text"), size)[1])
+            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(n.astype(np.int64))], names=["doc_id", "n_shingles"])
+
+    return rows.mapInArrow(released(run), "doc_id long, n_shingles long")
+
+
+def _link(rows: DataFrame, *parameters: int) -> DataFrame:
+    scratch = Scratch(rows.sparkSession)
+    try:  # the result reads checkpoints only
+        return _link_in(scratch, rows, *parameters)
+    finally:
+        scratch.clear()
+
+
+def _link_in(scratch: Scratch, rows: DataFrame, size: int, percent: int, fragment_bytes: int, rounds: int, verify_fragments: int) -> DataFrame:
     from pyspark.sql import Window
 
-    spark = docs.sparkSession
-    rows = docs.where(docs["doc_id"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    n_rows = rows.select("doc_id").count()
-    fragments = max(8, n_rows // per_fragment)
+    n_rows, n_bytes = rows.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    fragments = max(8, n_bytes // fragment_bytes)
     counts = durable(shared_counts(rows, size, fragments))
     survivors = counts.where(100 * F.col("shared") >= percent * F.col("n")).select("doc_id")
     repeated = durable(rows.groupBy("doc_id").count().where("count > 1").select("doc_id"))
     any_repeated = bool(repeated.limit(1).count())
 
-    scratch = Scratch(spark)
     sets = _sets_of(rows, survivors.unionByName(repeated), size)
     if any_repeated:
         pooled = sets.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("hashes"))).alias("hashes"))
@@ -263,27 +319,26 @@ def link(docs: DataFrame, size: int = 5, percent: int = 80, per_fragment: int =
     segments = scratch.keep(ranked.join(lists.select("doc_id").distinct(), "doc_id").groupBy("doc_id", fragment.alias("fragment")).agg(F.collect_list("h").alias("part")))
 
     labels = durable(lists.select("doc_id").distinct().select("doc_id", F.col("doc_id").alias("label")))
-    n_docs = labels.count()
-    for step in range(rounds + 1 if n_docs else 0):
-        current = lists.join(labels, "doc_id")
-        last = step == rounds
+    step, before = 0, None
+    while labels.limit(1).count():
+        current, last = lists.join(labels, "doc_id"), rounds == 0
         if step:
             sizes = current.groupBy("h", "label").agg(F.count("*").alias("c")).groupBy("h").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q")).where("m * m > q")
-            left = sizes.agg(F.sum((F.col("m") * F.col("m") - F.col("q")) / 2)).first()[0]
+            left = sizes.agg(F.sum((F.col("m").cast("double") * F.col("m") - F.col("q")) / 2)).first()[0]
             if not left:
                 break
             current = current.join(sizes.select("h"), "h")
-            last = last or left <= 20 * n_rows
+            last = last or left <= 20 * n_rows or (step >= rounds and left > 0.8 * before)
+            before = left
         pairs = _all_pairs(current, percent) if last else _hub_pairs(current, percent, step)
         found = _verify(pairs, segments, percent)
         # links between components, not documents: what is linked already needs no second look
         ends = found.join(labels.select(F.col("doc_id").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("doc_id").alias("b"), F.col("label").alias("lb")), "b")
         merged = components(ends, "la", "lb")
         labels = durable(labels.join(merged, F.col("label") == F.col("node"), "left").select("doc_id", F.coalesce("component", "label").alias("label")))
+        step += 1
         if last:
             break
-    scratch.clear()
-
     of_member = member.join(labels.select(F.col("doc_id").alias("rep"), "label"), "rep", "left").select("doc_id", F.coalesce("label", "rep").alias("component_id"))
     ids = rows.select("doc_id").distinct()
     out = ids.join(counts.select("doc_id", "n"), "doc_id", "left").join(of_member, "doc_id", "left")

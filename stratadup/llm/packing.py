@@ -10,99 +10,62 @@ gets one window more.
 from __future__ import annotations
 
 import heapq
+import json
+import os
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stratadup.llm.textkit import column, slices
+from stratadup.llm.bpe_counts import byte_alphabet
+from stratadup.llm.textkit import column, pick, released, slices
 
-MEMO_ENTRIES = 800_000
-#: White space other than the space and the line feed.
-ODD_SPACES = "\t\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
-SPACE = "\u0120"  # stands for the space in byte-level vocabularies
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
 class ByteBpe:
     """Ids of a byte-level vocabulary, as little-endian unsigned 32-bit integers.
 
-    A single space always begins a new pre-token unless white space stands on both its sides,
-    so the ids of the parts between spaces can be remembered and joined. Texts with such runs,
-    or with a special string, go through the library whole. Parts not yet known are encoded
-    together, as one text, and told apart by the ids that begin with a space.
+    Where merged pieces are numbered in the order of their merges, the faster of two libraries
+    gives the same ids (its pattern is the usual one of such vocabularies); other vocabularies go
+    through the library that their file is meant for. Nothing is remembered between texts.
     """
 
-    def __init__(self, path: str, memo_entries: int = MEMO_ENTRIES):
-        import os
+    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.library = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        vocabulary = self.library.get_vocab()
-        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.begins[[i for piece, i in vocabulary.items() if piece.startswith(SPACE)]] = True
-        self.parts: dict[str, bytes] = {}
-        self.limit = memo_entries
-        self.runs = regex.compile(r"[\s\p{White_Space}] (?:[\s\p{White_Space}]|\Z)")
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def separable(self, text: str) -> bool:
-        if any(s in text for s in self.special):
-            return False
-        spaced = "  " in text or "\n " in text or any(c in text for c in ODD_SPACES)
-        return not (spaced and self.runs.search(text))
-
-    def learn(self, parts: list[str]) -> dict[str, bytes]:
-        """The ids of unknown parts, each after a space."""
-        found: dict[str, bytes] = {}
-        plain = [p for p in parts if p and not p[0].isspace()]
-        for i in range(0, len(plain), 2000):
-            some = plain[i : i + 2000]
-            ids = np.array(self.library.encode(" " + " ".join(some), add_special_tokens=False).ids, "<u4")
-            at = np.flatnonzero(self.begins[ids])
-            if len(at) == len(some):
-                raw, cut = ids.tobytes(), [*(at * 4).tolist(), len(ids) * 4]
-                found.update((p, raw[a:b]) for p, a, b in zip(some, cut, cut[1:], strict=False))
-        for p in parts:
-            if p not in found:
-                found[p] = self.whole(" " + p)
-        room = self.limit - len(self.parts)
-        if room >= len(found):
-            self.parts.update(found)
-        return found
+        self.library, self.quick = Tokenizer.from_file(path), None
+        with open(path) as f:
+            spec = json.load(f)
+        if self._in_merge_order(spec):
+            import tiktoken
+
+            byte_of = {c: b for b, c in enumerate(byte_alphabet())}
+            special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+            ranks = {bytes(byte_of[c] for c in piece): i for piece, i in spec["model"]["vocab"].items() if piece not in special}
+            self.quick = tiktoken.Encoding("byte_bpe", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    @staticmethod
+    def _in_merge_order(spec: dict) -> bool:
+        model, before = spec["model"], spec["pre_tokenizer"] or {}
+        pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
+        merged = [model["vocab"][x + y] for x, y in pairs]
+        plain = before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before.get("add_prefix_space") and spec["normalizer"] is None
+        usual = not any(t.get(k) for t in spec["added_tokens"] for k in ("lstrip", "rstrip", "single_word")) and not model.get("ignore_merges")
+        return bool(plain and usual and merged == sorted(set(merged)) and len(model["vocab"].keys() - {t["content"] for t in spec["added_tokens"]}) == 256 + len(pairs) and merged[:1] == [256])
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of every text."""
-        split = [t.split(" ") if self.separable(t) else None for t in texts]
-        heads = [s[0] for s in split if s]
-        get, found, gaps = self.parts.get, [], set()
-        for s in split:
-            known = None
-            if s:
-                del s[0]
-                known = list(map(get, s))
-                if None in known:
-                    gaps.update([p for p, v in zip(s, known, strict=True) if v is None])
-            found.append(known)
-        new = self.learn(list(gaps)) if gaps else {}
-        first = iter(self.library.encode_batch_fast(heads, add_special_tokens=False))
-        for text, s, known in zip(texts, split, found, strict=True):
-            if s is None:
-                yield self.whole(text)
-            else:
-                if None in known:
-                    known = [new[p] if v is None else v for p, v in zip(s, known, strict=True)]
-                yield np.array(next(first).ids, "<u4").tobytes() + b"".join(known)
+        for text in texts:
+            ids = self.quick.encode(text, allowed_special="all") if self.quick else self.library.encode(text, add_special_tokens=False).ids
+            yield np.array(ids, "<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -179,9 +142,11 @@ def pack_group(sizes: np.ndarray, capacity: int) -> np.ndarray:
 def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, piece: int = 256, group: int = 96, end_id: int = 0, partitions: int | None = None) -> DataFrame:
     """One row per piece: its document, place, checksum, sequence and offset.
 
-    A null text counts as empty; its document is the end id alone. Rows that repeat an id are
-    documents of their own. Rows are dealt out by a hash of their fields, so no key can gather
-    them, and every task streams through groups of bounded size.
+    A null text counts as empty; its document is the end id alone. Ids pass through, null ones
+    too; rows that repeat an id are documents of their own. Pieces are dealt out by a hash of
+    their fields; where equal rows gather at one hash, the partition is cut by the map tasks that
+    wrote it, and every task streams through groups of bounded size. A text is tokenised whole,
+    however long. Further columns of the table are ignored, whatever their names.
     """
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -251,9 +216,13 @@ def pack(docs: DataFrame, vocabulary: str, capacity: int = 1024, piece: int = 25
 
     if piece > capacity:
         raise ValueError("a piece must fit into a window")
+    docs = pick(docs, "doc_id", "text")
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    pieces = rows.mapInArrow(tokenise, PIECES)
-    if partitions is None:
-        partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = pieces.repartition(partitions, F.xxhash64("doc_id", "start", "ids_crc32")).sortWithinPartitions(F.xxhash64("doc_id", "start"), "doc_id", "start", "ids_crc32")
-    return dealt.mapInArrow(assign, PIECES + ", sequence_id long, offset long")
+    pieces = rows.mapInArrow(released(tokenise), PIECES)
+    by = F.xxhash64("doc_id", "start", "length", "ids_crc32")
+    if partitions is None:  # as many as the pieces need: small partitions join, large ones are cut
+        dealt = pieces.withColumn("by", by).hint("rebalance", "by").drop("by")
+    else:
+        dealt = pieces.repartition(partitions, by)
+    dealt = dealt.sortWithinPartitions(by, "doc_id", "start", "ids_crc32", "doc_tokens")
+    return dealt.mapInArrow(released(assign), PIECES + ", sequence_id long, offset long")

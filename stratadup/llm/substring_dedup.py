@@ -9,9 +9,12 @@ A window is `size` consecutive words. Three passes over the texts:
 2. Windows. The cells that count two documents or more are folded into one bit array per
    sketch row, of a size fixed by the number of such cells and by `max_bits`. Only windows
    whose cells are all set go on; they are grouped exactly, by 128-bit hashes, and windows
-   that also start in a document with a smaller id leave their place.
-3. Removal. Places are gathered per document and its words are left out. Only texts that may
-   have such places (by another bit array, over ids) travel through the join.
+   that also start in a document with a smaller id leave their place. What the documents of a
+   slice share is settled there: only the least of them goes on to the grouping, so a passage
+   of very many documents sends one row per slice.
+3. Removal. Places are gathered per row of the table (its id and a hash of its text) and its
+   words are left out. Only texts that may have such places (by another bit array) travel
+   through the join.
 
 A full bit array lets more windows through to the exact grouping; it never loses one.
 """
@@ -23,12 +26,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratadup.llm import textkit
 from stratadup.llm.durable import durable
-from stratadup.llm.textkit import column, signed
+from stratadup.llm.textkit import column, pick, released, signed
 
 ROWS = 2
 CELL_BITS = 32
@@ -82,7 +86,7 @@ def sketch(docs: DataFrame, size: int, inner: int) -> DataFrame:
                 cell, n = np.unique(cells, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int64) | (r << CELL_BITS)), pa.array(n.astype(np.int32))], names=["cell", "n"])
 
-    return docs.mapInArrow(run, "cell long, n int").groupBy("cell").agg(F.sum("n").alias("n"))
+    return docs.select("doc_id", "text").mapInArrow(released(run), "cell long, n int").groupBy("cell").agg(F.sum("n").alias("n"))
 
 
 class BitArrays:
@@ -118,10 +122,18 @@ def _id_cells(ids: np.ndarray) -> np.ndarray:
     return textkit.mix(ids.astype(np.int64).view(np.uint64), 90) >> np.uint64(64 - CELL_BITS)
 
 
-def repeated_places(docs: DataFrame, size: int, inner: int, max_bits: int) -> DataFrame:
-    """Rows (doc_id, place): a window there also starts in a document with a smaller id."""
-    spark = docs.sparkSession
-    heavy = durable(sketch(docs, size, inner).where("n > 1").select("cell"))
+def row_hash(text: Column) -> Column:
+    """Tells the texts of rows that share an id apart."""
+    return F.xxhash64(text)
+
+
+def repeated_places(rows: DataFrame, size: int, inner: int, max_bits: int) -> DataFrame:
+    """Rows (doc_id, row, places): windows there also start in a document with a smaller id.
+
+    `rows` has (doc_id, row, text); a row of the result is a part of a row's places.
+    """
+    spark = rows.sparkSession
+    heavy = durable(sketch(rows, size, inner).where("n > 1").select("cell"))
     seen = spark.sparkContext.broadcast(BitArrays.collect(heavy, ROWS, max_bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,36 +149,72 @@ def repeated_places(docs: DataFrame, size: int, inner: int, max_bits: int) -> Da
                 on &= marked.has(r, cells)
             if not on.any():
                 continue
-            a, b = (textkit.windows(words.hashes(s), words.bounds, size, s)[0][on] for s in (0, 1))
-            ids = column(batch, "doc_id").to_numpy(zero_copy_only=False).astype(np.int64)[doc[on]]
-            # a window that a document repeats is one row with several places
-            order = np.lexsort((inside[on], b, a, ids))
-            a, b, ids = a[order], b[order], ids[order]
+            del least
+            doc, inside = doc[on], inside[on]
+            a = textkit.windows(hashes, words.bounds, size, 0)[0][on]
+            b = textkit.windows(words.hashes(1), words.bounds, size, 1)[0][on]
+            ids = column(batch, "doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
+            by = _settled(a, b, ids[doc])
+            yield _row_places(column(batch, "doc_id"), column(batch, "row"), doc[by], inside[by])
+            # the others, in order of window and document: a document's places of a window are one row
+            left = np.flatnonzero(~by)
+            left = left[np.lexsort((inside[left], doc[left], b[left], a[left]))]
+            a, b, doc, inside = a[left], b[left], doc[left], inside[left]
             new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (ids[1:] != ids[:-1])
+            new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (doc[1:] != doc[:-1])
             head = np.flatnonzero(new)
-            places = pa.ListArray.from_arrays(pa.array(np.append(head, len(a)).astype(np.int32)), pa.array(inside[on][order].astype(np.int32)))
-            yield pa.RecordBatch.from_arrays([pa.array(signed(a[head])), pa.array(signed(b[head])), pa.array(ids[head]), places], names=["a", "b", "doc_id", "places"])
+            places = pa.ListArray.from_arrays(pa.array(np.append(head, len(a)).astype(np.int32)), pa.array(inside.astype(np.int32)))
+            at = pa.array(doc[head])
+            yield pa.RecordBatch.from_arrays([pa.array(signed(a[head])), pa.array(signed(b[head])), column(batch, "doc_id").take(at), column(batch, "row").take(at), places, pa.array(np.zeros(len(head), bool))], names=WINDOW)
 
-    rows = docs.mapInArrow(run, "a long, b long, doc_id long, places array<int>")
-    # a document brings a window once and has many, so one window's rows stay a small share
+    found = rows.mapInArrow(released(run), "a long, b long, doc_id long, row long, places array<int>, settled boolean")
+    # one row for a window and slice, or more where rows repeat an id
     first = F.min("doc_id").over(Window.partitionBy("a", "b"))
-    return rows.withColumn("first", first).where(F.col("doc_id") > F.col("first")).select("doc_id", F.explode("places").alias("place"))
+    return found.withColumn("first", first).where(F.col("settled") | (F.col("doc_id") > F.col("first"))).select("doc_id", "row", "places")
+
+
+WINDOW = ["a", "b", "doc_id", "row", "places", "settled"]
 
 
-def remove_repeats(docs: DataFrame, size: int = 50, inner: int = 8, max_bits: int = 1 << 28) -> DataFrame:
-    """Rows (doc_id, n_words, n_removed, kept_sha256, kept): kept words, joined by one space.
+def _settled(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which windows also start in a document with a smaller id, among these alone."""
+    order = np.lexsort((ids, b, a))
+    x, y = a[order], b[order]
+    new = np.ones(len(a), bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    least = ids[order][np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))]
+    out = np.zeros(len(a), bool)
+    out[order] = ids[order] > least
+    return out
 
-    `kept` is null where nothing was removed. Windows are judged on the input texts. Null texts
-    have no words. Rows with equal ids count as one document for the comparison of ids, and
-    each loses the words that any of them loses at the same place. A null id is smaller than
-    all others.
+
+def _row_places(ids: pa.Array, rows: pa.Array, doc: np.ndarray, inside: np.ndarray) -> pa.RecordBatch:
+    """One row per document with all its settled places, under a key of its own."""
+    head = np.flatnonzero(np.diff(doc, prepend=-1))
+    places = pa.ListArray.from_arrays(pa.array(np.append(head, len(doc)).astype(np.int32)), pa.array(inside.astype(np.int32)))
+    at = pa.array(doc[head])
+    own = ids.take(at)
+    return pa.RecordBatch.from_arrays([own, rows.take(at), own, rows.take(at), places, pa.array(np.ones(len(head), bool))], names=WINDOW)
+
+
+def remove_repeats(docs: DataFrame, size: int = 50, inner: int = 8, max_bits: int = 1 << 28, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, n_words, n_removed, kept_sha256, kept) and the columns `keep`, one per row.
+
+    `kept` holds the kept words, joined by one space, and is null where nothing was removed.
+    Windows are judged on the input texts. Null and empty texts have no words. Rows that repeat
+    an id are one document where ids are compared, so they never remove from each other; each
+    loses its own places only. A null id counts as the least of all (as -2**63 does). A text is
+    hashed whole, in blocks, however long; its words' hashes are held at once. Columns that are
+    not in `keep` are ignored, whatever their names.
     """
-    kind = dict(docs.dtypes)["doc_id"]
-    null_id = -(2**63)
-    rows = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(null_id)).alias("doc_id"), docs["text"].cast("string").alias("text"))
+    names = [c for c in keep if c not in ("doc_id", "text")]
+    docs = pick(docs, "doc_id", "text", *names)
+    kinds = dict(docs.dtypes)
+    text = docs["text"].cast("string")
+    whole = docs.select(docs["doc_id"].alias("id"), F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))).alias("doc_id"), row_hash(text).alias("row"), text.alias("text"), *[docs[c].alias(f"x{i}") for i, c in enumerate(names)])
+    rows = whole.select("doc_id", "row", "text")
     places = repeated_places(rows, size, inner, max_bits)
-    cut = durable(places.groupBy("doc_id").agg(F.sort_array(F.collect_set("place")).alias("places")))
+    cut = durable(places.groupBy("doc_id", "row").agg(F.array_distinct(F.flatten(F.collect_set("places"))).alias("places")))
     spark = docs.sparkSession
 
     def cell_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,21 +223,23 @@ def remove_repeats(docs: DataFrame, size: int = 50, inner: int = 8, max_bits: in
 
     cells = cut.select("doc_id").mapInArrow(cell_of, "cell long")
     touched = spark.sparkContext.broadcast(BitArrays.collect(cells, 1, max_bits))
+    others = [f"x{i}" for i in range(len(names))]
+    every = "text" in keep
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marked = touched.value
-        for batch in batches:
+        for batch in textkit.slices(batches):
             maybe = marked.has(0, _id_cells(column(batch, "doc_id").to_numpy()))
-            count, sums, texts = [], [], []
-            for text, later in zip(column(batch, "text"), maybe.tolist(), strict=True):
+            count, sums = [], []
+            for text in column(batch, "text"):
                 words = (text.as_buffer().to_pybytes() if text.is_valid else b"").split()
                 count.append(len(words))
                 sums.append(hashlib.sha256(b" ".join(words)).hexdigest())
-                texts.append(text.as_py() if later else None)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(count, pa.int64()), pa.array(sums, pa.string()), pa.array(texts, pa.string())], names=["doc_id", "n_words", "whole_sha256", "text"])
+            texts = column(batch, "text") if every else pc.if_else(pa.array(maybe), column(batch, "text"), pa.scalar(None, column(batch, "text").type))
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "doc_id"), column(batch, "row"), pa.array(count, pa.int64()), pa.array(sums, pa.string()), texts, *[column(batch, c) for c in others]], names=["id", "doc_id", "row", "n_words", "whole_sha256", "text", *others])
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in textkit.slices(batches):
             removed, sums, kept = [], [], []
             for text, whole, places in zip(column(batch, "text"), column(batch, "whole_sha256").to_pylist(), column(batch, "places"), strict=True):
                 if not places.is_valid:
@@ -197,18 +247,18 @@ def remove_repeats(docs: DataFrame, size: int = 50, inner: int = 8, max_bits: in
                     continue
                 words = text.as_buffer().to_pybytes().split()
                 at = np.asarray(places.values)
-                at = at[at + size <= len(words)]
                 edge = np.zeros(len(words) + 1, np.int64)
                 np.add.at(edge, at, 1)
                 np.add.at(edge, at + size, -1)
                 stay = np.cumsum(edge[:-1]) == 0
                 left = b" ".join([w for w, s in zip(words, stay.tolist(), strict=True) if s])
                 removed.append(int(len(words) - stay.sum())), sums.append(hashlib.sha256(left).hexdigest()), kept.append(left.decode())
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), column(batch, "n_words"), pa.array(removed, pa.int64()), pa.array(sums, pa.string()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "n_words"), pa.array(removed, pa.int64()), pa.array(sums, pa.string()), pa.array(kept, pa.string()), *([column(batch, "text")] if every else []), *[column(batch, c) for c in others]], names=["id", "n_words", "n_removed", "kept_sha256", "kept", *(["text"] if every else []), *others])
 
-    joined = rows.mapInArrow(digest, "doc_id long, n_words long, whole_sha256 string, text string").join(cut, "doc_id", "left")
-    out = joined.mapInArrow(cover, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
-    return out.withColumn("doc_id", F.when(F.col("doc_id") != null_id, F.col("doc_id")).cast(kind))
+    more = "".join(f", x{i} {kinds[c]}" for i, c in enumerate(names))
+    joined = whole.mapInArrow(released(digest), f"id {kinds['doc_id']}, doc_id long, row long, n_words long, whole_sha256 string, text string{more}").join(cut, ["doc_id", "row"], "left")
+    out = joined.mapInArrow(released(cover), f"id {kinds['doc_id']}, n_words long, n_removed long, kept_sha256 string, kept string{', text string' if every else ''}{more}")
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept", *(["text"] if every else []), *[F.col(f"x{i}").alias(c) for i, c in enumerate(names)])
 
 
 def report(docs: DataFrame) -> DataFrame:

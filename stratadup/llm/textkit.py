@@ -14,13 +14,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import DataFrame
 
 SLICE_BYTES = 2 << 20
+STRIDE = 1 << 12  # powers are products of two short tables, which do not grow with the texts
+BLOCK_BYTES = 1 << 18
 _U = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 9, 10, 11, 12, 13]] = True
 _tables: dict[tuple[int, bool], np.ndarray] = {}
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
 def _byte_values(seed: int, lower: bool) -> np.ndarray:
@@ -32,23 +34,49 @@ def _byte_values(seed: int, lower: bool) -> np.ndarray:
     return _tables[seed, lower]
 
 
-def _base(seed: int) -> int:
-    return int(np.random.RandomState(2000 + seed).randint(1, 2**62)) * 8 + 5
+def _series(base: int, n: int) -> np.ndarray:
+    t = np.full(max(n, 1), base % 2**64, _U)
+    t[0] = 1
+    return np.cumprod(t, dtype=_U)
 
 
-def _power_table(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse modulo 2**64."""
-    have = _powers.get(seed)
-    if have is None or len(have[0]) < n:
-        base = _base(seed)
-        size = max(n, SLICE_BYTES + 1)
-        tables = []
-        for b in (base, pow(base, -1, 2**64)):
-            t = np.full(size, b % 2**64, _U)
-            t[0] = 1
-            tables.append(np.cumprod(t, dtype=_U))
-        have = _powers[seed] = (tables[0], tables[1])
-    return have
+class Powers:
+    """Powers of an odd base modulo 2**64, up to a largest exponent."""
+
+    def __init__(self, base: int, largest: int):
+        self.low = _series(base, STRIDE)
+        self.high = _series(pow(base, STRIDE, 2**64), largest // STRIDE + 1)
+
+    def at(self, exponents: np.ndarray) -> np.ndarray:
+        return self.low[exponents % STRIDE] * self.high[exponents // STRIDE]
+
+    def run(self, start: int, end: int) -> np.ndarray:
+        """The powers from `start`, a multiple of the stride, to before `end`."""
+        return (self.high[start // STRIDE : -(-end // STRIDE), None] * self.low).ravel()[: end - start]
+
+
+def _span_sums(values, n: int, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
+    """For every span, the sum of value times base**(place in the span), modulo 2**64.
+
+    `values(a, b)` gives the values of the places a to b. Prefix sums are made block by block
+    and kept at the spans' ends only, so that little more than a span's result is held.
+    """
+    base = int(np.random.RandomState(2000 + seed).randint(1, 2**62)) * 8 + 5
+    up, down = Powers(base, n), Powers(pow(base, -1, 2**64), n)
+    out, total = np.zeros(len(starts), _U), _U(0)
+    for a in range(0, n, BLOCK_BYTES):
+        b = min(a + BLOCK_BYTES, n)
+        sums = np.empty(b - a + 1, _U)
+        sums[0] = total
+        np.cumsum(values(a, b) * up.run(a, b), out=sums[1:])
+        sums[1:] += total
+        total = sums[-1]
+        last = b == n
+        x, y = np.searchsorted(starts, (a, b + last))
+        out[x:y] -= sums[starts[x:y] - a]
+        x, y = np.searchsorted(ends, (a, b + last))
+        out[x:y] += sums[ends[x:y] - a]
+    return out * down.at(starts)
 
 
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
@@ -73,11 +101,8 @@ class Words:
     lower: bool
 
     def hashes(self, seed: int = 0) -> np.ndarray:
-        up, down = _power_table(seed, len(self.data) + 1)
-        sums = np.empty(len(self.data) + 1, _U)
-        sums[0] = 0
-        np.cumsum(_byte_values(seed, self.lower)[self.data] * up[: len(self.data)], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts], seed)
+        table = _byte_values(seed, self.lower)
+        return mix(_span_sums(lambda a, b: table[self.data[a:b]], len(self.data), self.starts, self.ends, seed), seed)
 
     def counts(self) -> np.ndarray:
         return np.diff(self.bounds)
@@ -131,9 +156,7 @@ def windows(hashes: np.ndarray, bounds: np.ndarray, size: int, seed: int = 0) ->
             out = out * _U(0x9E3779B97F4A7C15) + hashes[at + j]
             out ^= out >> _U(29)
     else:
-        up, down = _power_table(100 + seed, len(hashes) + 1)
-        sums = np.concatenate((np.zeros(1, _U), np.cumsum(hashes * up[: len(hashes)], dtype=_U)))
-        out = (sums[at + size] - sums[at]) * down[at]
+        out = _span_sums(lambda a, b: hashes[a:b], len(hashes), at, at + size, 100 + seed)
     return mix(out, 50 + seed), doc, inside
 
 
@@ -142,19 +165,55 @@ def signed(x: np.ndarray) -> np.ndarray:
 
 
 class Memo(dict):
-    """A dictionary that computes what it lacks and keeps `limit` results at most."""
+    """A dictionary that computes what it lacks and keeps `limit` bytes of results at most.
 
-    def __init__(self, make, limit: int):
+    `size` estimates an entry's bytes; long keys are never kept.
+    """
+
+    def __init__(self, make, limit: int, size=lambda key, value: 160 + 2 * len(key), longest: int = 100):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.left, self.size, self.longest = make, limit, size, longest
 
     def __missing__(self, key):
         value = self.make(key)
-        if len(self) < self.limit:
+        if self.left > 0 and len(key) <= self.longest:
+            self.left -= self.size(key, value)
             self[key] = value
         return value
 
 
-def known_texts(df, text: str = "text"):
-    """The frame with `text` as a string column, whatever else it has."""
-    return df.withColumn(text, df[text].cast("string"))
+def pick(df: DataFrame, *names: str) -> DataFrame:
+    """The named columns alone. A column of exactly that name is meant, whatever other columns
+    are called; without one, the first whose name differs in case."""
+    flat = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+    def place(name: str) -> int:
+        for same in (str, str.lower):
+            at = [i for i, c in enumerate(df.columns) if same(c) == same(name)]
+            if at:
+                return at[0]
+        raise ValueError(f"no column {name}")
+
+    return flat.select(*[flat[f"c{place(n)}"].alias(n) for n in names])
+
+
+def released(run):
+    """The Arrow map `run`, which gives its worker's free memory back when a task ends."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    import ctypes
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass

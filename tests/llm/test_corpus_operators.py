@@ -96,9 +96,12 @@ def test_chains_of_near_copies(spark):
 
 def test_links_of_odd_tables(spark, docs, nothing, texts):
     assert ngram_join.link(nothing).count() == 0
-    twice = docs.union(docs).union(docs.withColumn("doc_id", F.lit(None).cast("long")))
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.link(twice).collect()}
-    assert got == brute_components(texts)
+    twice = docs.union(docs).union(docs.withColumn("doc_id", F.lit(None).cast("long"))).withColumn("TEXT", F.lit("another"))
+    rows = ngram_join.link(twice).collect()
+    want = brute_components(texts)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows if r.doc_id is not None} == want
+    nameless = [r for r in rows if r.doc_id is None]
+    assert sorted(r.n_shingles for r in nameless) == sorted(n for n, _ in want.values()) and not any(r.component_id for r in nameless)
 
 
 def test_components(spark):

@@ -51,10 +51,14 @@ def test_byte_ids_equal_the_library():
     from tokenizers import Tokenizer
 
     path = P.path("byte_bpe_50k.json")
-    library, own = Tokenizer.from_file(path), packing.ByteBpe(path, 50)
-    texts = odd_texts(2, 1500)
-    for text, ids in zip(texts, own.encode(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
+    library, own = Tokenizer.from_file(path), packing.ByteBpe(path)
+    assert own.quick is not None
+    letters = "".join(f"a{chr(c)} {chr(c)}1 " for c in range(0x30000) if not 0xD800 <= c < 0xE000)
+    texts = [*odd_texts(2, 1500), *[letters[i : i + 10000] for i in range(0, len(letters), 10000)], "ab" * 20000]
+    for quick in (own.quick, None):  # and as for other vocabularies
+        own.quick = quick
+        for text, ids in zip(texts, own.encode(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids, text
 
 
 def check_packing(rows, texts, capacity):
