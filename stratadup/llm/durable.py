@@ -65,9 +65,14 @@ class Scratch:
         return self.spark.read.parquet(at)
 
     def clear(self) -> None:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.base)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        remove(self.spark, self.base)
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of the shared store."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def mounted_dir(spark: SparkSession) -> str:

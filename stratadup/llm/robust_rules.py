@@ -1,17 +1,23 @@
 """Quality rules with robust multivariate outliers, in DataFrame and SQL functions only.
 
 Every document gets counts; counts become a vector of transformed statistics, rounded to whole
-thousandths so that all sums over documents are exact and do not depend on their order. For
-every language and source a minimum-covariance-determinant estimate is found by concentration
-steps: from the coordinatewise median, each step keeps the `core` share of documents nearest
-in Mahalanobis distance and takes their mean and covariance. A document is rejected when its
-distance from the final estimate exceeds `cutoff`, scaled so that the core's covariance is
-consistent for normal data.
+thousandths so that all sums over documents are exact and do not depend on their order. Every
+language, and every source of it, has a minimum-covariance-determinant estimate: from several
+starts (the coordinatewise medians, and the parts of the documents with the same remainder of a
+number made from the vector) concentration steps keep the `core` share of documents nearest in
+Mahalanobis distance and take their mean and covariance. After `trial` steps the start whose
+covariance has the least determinant goes on until no group's core changes, `steps` steps at
+most. A document is rejected when its distance from its group's estimate exceeds `cutoff`,
+scaled so that the core's covariance is consistent for normal data.
+
+A source's mean and covariance are shrunk towards its language's, which counts for `prior`
+documents: a small source leans on its language, a large one on itself, with no step between.
+Languages do not mix. Documents of a language with fewer than `least` documents, five for each
+statistic, get no verdict beyond the base rules.
 
 Distances are ranked on a fixed logarithmic grid, so the size of the core is met to within one
-grid cell and no group of any size is sorted or gathered in one task. Groups of fewer than
-`least` documents pool: first all such sources of a language, then all such languages; a last
-pool that is still too small gives no verdicts.
+grid cell and no group of any size is sorted or gathered in one task. Estimates, one row per
+group and start, are broadcast when they are few.
 """
 
 from __future__ import annotations
@@ -22,6 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratadup.llm.durable import durable
+from stratadup.llm.textkit import pick
 
 WORD = r"[^\x20\x09-\x0D]"
 SPACE = r"[\x20\x09-\x0D]+"
@@ -45,12 +52,16 @@ class Rules:
     min_words: int = 50
     max_repeat_percent: int = 50
     core: float = 0.75
-    steps: int = 4
+    parts: int = 3
+    trial: int = 2
+    steps: int = 10
     cutoff: float = 18.467
     consistency: float = 1.485
     floor: tuple[float, float, float, float] = (10.0**2, 20.0**2, 60.0**2, 60.0**2)
-    least: int = 200
+    prior: float = 10.0
+    least: int = 20
     grid: int = 16
+    broadcast_rows: int = 100_000
 
 
 def _repeat_words() -> Column:
@@ -70,17 +81,23 @@ def _repeat_words() -> Column:
     )
 
 
-def measure(docs: DataFrame, rules: Rules) -> DataFrame:
-    """The counts of every document, with the columns lang and source; null texts have no words."""
+def measure(docs: DataFrame, rules: Rules, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The counts of every document, its language and group, and the columns `keep` as keep0,
+    keep1 and so on; null texts have no words. Null languages and sources are values like others."""
+    docs = pick(docs, "doc_id", "text", "lang", "source", *keep)
+    docs = docs.toDF("doc_id", "text", "lang", "source", *[f"keep{i}" for i in range(len(keep))])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.col("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), text.alias("t"))
+    kept = [f"keep{i}" for i in range(len(keep))]
+    lang, source = (F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in ("lang", "source"))
+    rows = docs.select("doc_id", lang.alias("language"), F.concat(F.length(lang), lang, source).alias("pool"), text.alias("t"), *kept)
     rows = rows.withColumn("w", F.filter(F.split(F.col("t"), SPACE), lambda x: x != ""))
     rows = rows.withColumn("h", F.expr("case when size(w) < 3 then cast(array() as array<bigint>) else transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])) end"))
     lines = F.filter(F.split(F.col("t"), "\n"), lambda x: x.rlike(WORD))
     rows = rows.select(
         "doc_id",
-        "lang",
-        "source",
+        "language",
+        "pool",
+        *kept,
         F.size("w").cast("long").alias("n_words"),
         F.length(F.regexp_replace("t", SPACE, "")).cast("long").alias("word_chars"),
         (F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
@@ -105,16 +122,6 @@ def vector(rows: DataFrame) -> DataFrame:
     return rows.withColumns({k: F.floor(v * 1000 + 0.5).cast("long") for k, v in out.items()})
 
 
-def _pools(rows: DataFrame, least: int) -> DataFrame:
-    """The estimator's group of every (lang, source); null values are values of their own."""
-    lang, source = (F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null")) for c in ("lang", "source"))
-    counts = rows.groupBy("lang", "source").agg(F.count("*").alias("n"))
-    small = F.col("n") < least
-    counts = counts.withColumn("in_lang", F.sum(F.when(small, F.col("n"))).over(Window.partitionBy("lang")))
-    pooled = F.when(small & (F.col("in_lang") < least), F.lit("rest")).when(small, F.concat(lang, F.lit(" rest"))).otherwise(F.concat(lang, F.lit(" "), source))
-    return counts.select("lang", "source", pooled.alias("pool"))
-
-
 def _moments() -> list[Column]:
     """Exact sums of coordinates and of their products, over weighted vectors."""
     w, out = F.col("weight"), [F.sum("weight").alias("n")]
@@ -124,95 +131,146 @@ def _moments() -> list[Column]:
     return out
 
 
-def _factor(moments: DataFrame, rules: Rules) -> DataFrame:
-    """Means and the Cholesky factor of the floored covariance, one row per pool."""
-    d, n = len(VECTOR), F.col("n").cast("double")
-    est = moments.withColumns({f"m{i}": F.col(f"s{i}") / n for i in range(d)})
-    for i in range(d):
-        for j in range(i + 1):
-            # n q - s s is a whole number; decimals hold it exactly
-            whole = [F.col(c).cast("decimal(19,0)") for c in ("n", f"q{i}{j}", f"s{i}", f"s{j}")]
-            cov = (whole[0] * whole[1] - whole[2] * whole[3]).cast("double") / n / n + F.lit(rules.floor[i] if i == j else 0.0)
-            for k in range(j):
-                cov = cov - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
-            est = est.withColumn(f"l{i}{j}", F.sqrt(cov) if i == j else cov / F.col(f"l{j}{j}"))
-    return est.select("pool", *_names())
+D = range(len(VECTOR))
+PAIRS = [(i, j) for i in D for j in range(i + 1)]
+MEANS, COVARIANCES, FACTOR = [f"m{i}" for i in D], [f"c{i}{j}" for i, j in PAIRS], [f"l{i}{j}" for i, j in PAIRS]
+KEY = ["pool", "start"]
+
 
+def _factor(rules: Rules) -> list[str]:
+    """The Cholesky factor of the floored covariance, and the root of its determinant; a column may
+    use those before it in the list."""
+    out = []
+    for i, j in PAIRS:
+        cov = f"(c{i}{j} + {rules.floor[i] if i == j else 0.0}D)"
+        for k in range(j):
+            cov = f"({cov} - l{i}{k} * l{j}{k})"
+        out.append(f"{f'sqrt({cov})' if i == j else f'{cov} / l{j}{j}'} as l{i}{j}")
+    return [*out, f"{' * '.join(f'l{i}{i}' for i in D)} as root"]
 
-def _names() -> list[str]:
-    d = range(len(VECTOR))
-    return [f"m{i}" for i in d] + [f"l{i}{j}" for i in d for j in range(i + 1)]
 
+def _estimated(moments: DataFrame, priors: DataFrame | None, rules: Rules) -> DataFrame:
+    """Means, covariances and factors from moments, shrunk towards the language's where there are priors."""
+    means = [f"cast(s{i} as double) / cast(n as double) as m{i}" for i in D]
+    # n q - s s is a whole number; decimals hold it exactly
+    whole = lambda c: f"cast({c} as decimal(19,0))"
+    cov = [f"cast({whole('n')} * {whole(f'q{i}{j}')} - {whole(f's{i}')} * {whole(f's{j}')} as double) / cast(n as double) / cast(n as double) as c{i}{j}" for i, j in PAIRS]
+    rows = moments.selectExpr(*KEY, "n", *means, *cov)
+    if priors is not None:
+        shrunk = [f"(cast(n as double) * {c} + {rules.prior}D * p_{c}) / (cast(n as double) + {rules.prior}D) as {c}" for c in MEANS + COVARIANCES]
+        rows = rows.join(priors, "pool").selectExpr(*KEY, "n", *shrunk)
+    return rows.selectExpr(*KEY, "n", *MEANS, *COVARIANCES, *_factor(rules))
 
-def _start(slim: DataFrame, rules: Rules) -> DataFrame:
+
+def _medians(slim: DataFrame, rules: Rules) -> DataFrame:
     """Coordinatewise medians and quartile ranges. Values lie on a bounded grid of whole numbers,
     so the exact percentiles need memory for the grid only."""
     quartiles = [F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), F.col("weight")).alias(f"p{i}") for i, v in enumerate(VECTOR)]
-    est = slim.groupBy("pool").agg(F.sum("weight").alias("n"), *quartiles).where(F.col("n") >= rules.least)
-    out = {}
-    for i in range(len(VECTOR)):
-        out[f"m{i}"] = F.col(f"p{i}")[1]
-        scale = (F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349
-        out |= {f"l{i}{j}": F.sqrt(scale * scale + rules.floor[i]) if i == j else F.lit(0.0) for j in range(i + 1)}
-    return est.withColumns(out).select("pool", *_names())
+    rows = slim.groupBy("pool").agg(F.sum("weight").alias("n"), *quartiles)
+    scale = [f"((p{i}[2] - p{i}[0]) / 1.349D)" for i in D]
+    cov = [f"{scale[i]} * {scale[i]} as c{i}{j}" if i == j else f"0.0D as c{i}{j}" for i, j in PAIRS]
+    rows = rows.selectExpr("pool", "0 as start", "n", *[f"p{i}[1] as m{i}" for i in D], *cov)
+    return rows.selectExpr(*KEY, "n", *MEANS, *COVARIANCES, *_factor(rules))
 
 
 def _distance() -> Column:
     """The squared Mahalanobis distance, by forward substitution."""
-    z: list[Column] = []
+    z: list[str] = []
     for i, name in enumerate(VECTOR):
-        v = F.col(name) - F.col(f"m{i}")
+        v = f"({name} - m{i})"
         for k in range(i):
-            v = v - F.col(f"l{i}{k}") * z[k]
-        z.append(v / F.col(f"l{i}{i}"))
-    return sum((x * x for x in z[1:]), z[0] * z[0])
+            v = f"({v} - l{i}{k} * {z[k]})"
+        z.append(f"({v} / l{i}{i})")
+    return F.expr(" + ".join(f"{x} * {x}" for x in z))
 
 
-def _concentrate(slim: DataFrame, estimate: DataFrame, rules: Rules) -> DataFrame:
-    """One step: the moments of the documents nearest to the present estimate."""
-    cell = F.floor(F.log(_distance() + 0.001) * rules.grid).cast("long")
-    scored = slim.join(estimate, "pool").select("pool", *VECTOR, "weight", cell.alias("cell"))
-    cells = scored.groupBy("pool", "cell").agg(F.sum("weight").alias("c"))
-    by_pool = Window.partitionBy("pool")
-    cells = cells.withColumn("run", F.sum("c").over(by_pool.orderBy("cell"))).withColumn("all", F.sum("c").over(by_pool))
-    edge = cells.where(F.col("run") >= F.ceil(rules.core * F.col("all"))).groupBy("pool").agg(F.min("cell").alias("edge"))
-    core = scored.join(edge, "pool").where(F.col("cell") <= F.col("edge"))
-    return _factor(core.groupBy("pool").agg(*_moments()), rules)
+def _small(rows: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(rows) if few else rows
 
 
-def estimate_pools(measured: DataFrame, rules: Rules) -> tuple[DataFrame, DataFrame]:
-    """The pool of every (lang, source), and every pool's estimate, from measured documents that
-    pass the base rules. Equal vectors fold into one weighted row before the steps."""
-    good = vector(measured.where(~F.col("base_failed")))
-    pools = durable(_pools(good, rules.least))
-    slim = _with_pool(good, pools).groupBy("pool", *VECTOR).agg(F.count("*").alias("weight"))
-    slim = durable(slim)
-    estimate = durable(_start(slim, rules))
-    for _ in range(rules.steps):
-        estimate = durable(_concentrate(slim, estimate, rules))
-    return pools, estimate
+def _few(rows: DataFrame, limit: int) -> bool:
+    return rows.limit(limit + 1).count() <= limit
 
 
-def _with_pool(rows: DataFrame, pools: DataFrame, how: str = "inner") -> DataFrame:
-    p = pools.select(F.col("lang").alias("_l"), F.col("source").alias("_s"), "pool")
-    joined = rows.join(p, rows["lang"].eqNullSafe(p["_l"]) & rows["source"].eqNullSafe(p["_s"]), how)
-    return joined.drop("_l", "_s")
+def _concentrate(slim: DataFrame, estimate: DataFrame, priors: DataFrame | None, rules: Rules, few: bool) -> DataFrame:
+    """One step: the moments of the documents nearest to the present estimate."""
+    cell = F.floor(F.log(_distance() + 0.001) * rules.grid).cast("long")
+    scored = slim.join(_small(estimate.select(*KEY, *MEANS, *FACTOR), few), "pool").select(*KEY, *VECTOR, "weight", cell.alias("cell"))
+    cells = scored.groupBy(*KEY, "cell").agg(F.sum("weight").alias("c"))
+    by_pool = Window.partitionBy(*KEY)
+    cells = cells.withColumn("run", F.sum("c").over(by_pool.orderBy("cell"))).withColumn("all", F.sum("c").over(by_pool))
+    edge = cells.where(F.col("run") >= F.ceil(rules.core * F.col("all"))).groupBy(*KEY).agg(F.min("cell").alias("edge"))
+    core = scored.join(_small(edge, few), KEY).where(F.col("cell") <= F.col("edge"))
+    return durable(_estimated(core.groupBy(*KEY).agg(*_moments()), priors, rules))
+
+
+def _digest(estimate: DataFrame) -> tuple:
+    """Tells estimates apart: their number, and the sums of two hashes."""
+    sums = [F.sum(F.xxhash64(F.lit(k), *KEY, "n", *MEANS, *COVARIANCES).cast("decimal(38,0)")) for k in (1, 2)]
+    return tuple(estimate.agg(F.count("*"), *sums).first())
+
+
+def _determinant(slim: DataFrame, priors: DataFrame | None, rules: Rules) -> DataFrame:
+    """Every pool's estimate of least determinant, from rows (pool, statistics, weight)."""
+    residue = F.pmod(F.col("v_length") + 3 * F.col("v_symbol") + 5 * F.col("v_line") + 7 * F.col("v_repeat"), F.lit(rules.parts))
+    parts = slim.withColumn("start", (residue + 1).cast("int")).groupBy(*KEY).agg(*_moments())
+    estimate = durable(_medians(slim, rules).unionByName(_estimated(parts, priors, rules)))
+    few = _few(estimate, rules.broadcast_rows)
+    for _ in range(rules.trial):
+        estimate = _concentrate(slim, estimate, priors, rules, few)
+    best = estimate.groupBy("pool").agg(F.min(F.struct("root", "start")).alias("b")).select("pool", F.col("b.start").alias("start"))
+    estimate = durable(estimate.join(best, KEY))
+    mark = None
+    for step in range(rules.trial, rules.steps):
+        if (step - rules.trial) % 2 == 0:
+            before, mark = mark, _digest(estimate)
+            if mark == before:
+                break
+        estimate = _concentrate(slim, estimate, priors, rules, few)
+    return estimate
+
+
+def estimate_pools(measured: DataFrame, rules: Rules) -> DataFrame:
+    """Every (language, source)'s estimate, from measured documents that pass the base rules.
+    Equal vectors fold into one weighted row before the steps."""
+    good = vector(measured.where(~F.col("base_failed")))
+    slim = durable(good.groupBy("language", "pool", *VECTOR).agg(F.count("*").alias("weight")))
+    enough = slim.groupBy("language").agg(F.sum("weight").alias("n")).where(F.col("n") >= rules.least).select("language")
+    enough = durable(enough)
+    slim = durable(slim.join(_small(enough, _few(enough, rules.broadcast_rows)), "language"))
+    of_language = _determinant(slim.drop("pool").withColumnRenamed("language", "pool"), None, rules)
+    names = MEANS + COVARIANCES
+    priors = slim.select("pool", "language").distinct().join(of_language.select(F.col("pool").alias("language"), *[F.col(c).alias(f"p_{c}") for c in names]), "language").drop("language")
+    return _determinant(slim.drop("language"), durable(priors), rules)
+
+
+def apply_estimates(measured: DataFrame, estimate: DataFrame, rules: Rules) -> DataFrame:
+    """Measured documents with `distance` and `kept`."""
+    rows = vector(measured).join(_small(estimate.select("pool", *MEANS, *FACTOR), _few(estimate, rules.broadcast_rows)), "pool", "left")
+    rows = rows.withColumn("distance", _distance() / F.lit(rules.consistency))
+    far = F.coalesce(F.col("distance") > rules.cutoff, F.lit(False))
+    return rows.withColumn("kept", ~F.col("base_failed") & ~far).drop(*MEANS, *FACTOR)
 
 
 def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """Measured documents with `distance` (scaled squared robust distance; null without a verdict)
     and `kept`.
 
-    A row is a document, rows that repeat an id included; null texts count as empty and fail the
-    base rules, null languages and sources are values like others. An empty table gives an empty
-    result.
+    A row is a document, rows that repeat an id or have none included; null and empty texts fail
+    the base rules, long texts are measured whole. Null languages and sources are values like
+    others. Documents at the same distance have the same verdict. An empty table gives an empty
+    result. Further columns of the table are ignored, whatever their names.
     """
     measured = durable(measure(docs, rules))
-    pools, estimate = estimate_pools(measured, rules)
-    rows = _with_pool(vector(measured), pools, "left").join(estimate, "pool", "left")
-    rows = rows.withColumn("distance", _distance() / F.lit(rules.consistency))
-    far = F.coalesce(F.col("distance") > rules.cutoff, F.lit(False))
-    return rows.withColumn("kept", ~F.col("base_failed") & ~far).drop("pool", *_names())
+    return apply_estimates(measured, estimate_pools(measured, rules), rules)
+
+
+def accepted(docs: DataFrame, keep: tuple[str, ...], rules: Rules = Rules()) -> DataFrame:
+    """The columns `keep` of the documents that are kept, row by row. Texts are measured twice, so
+    that they need not travel through a shuffle."""
+    estimate = estimate_pools(measure(docs, rules), rules)
+    rows = apply_estimates(measure(docs, rules, keep), estimate, rules).where("kept")
+    return rows.select(*[F.col(f"keep{i}").alias(c) for i, c in enumerate(keep)])
 
 
 def report(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from stratadup.llm.robust_rules import VECTOR, Rules
+from stratadup.llm.robust_rules import COVARIANCES, FACTOR, MEANS, PAIRS, VECTOR, D, Rules
 
-D = range(len(VECTOR))
+NAMES = ", ".join(MEANS + COVARIANCES)
 
 
 def _distance() -> str:
@@ -17,58 +17,72 @@ def _distance() -> str:
     return " + ".join(f"{x} * {x}" for x in z)
 
 
-def _columns() -> str:
-    return ", ".join([f"m{i}" for i in D] + [f"l{i}{j}" for i in D for j in range(i + 1)])
+def _factored(body: str, rules: Rules) -> str:
+    """One nested select per entry of the factor, as each needs the ones before."""
+    for i, j in PAIRS:
+        cov = f"(c{i}{j} + {rules.floor[i] if i == j else 0.0!r})"
+        for k in range(j):
+            cov = f"({cov} - l{i}{k} * l{j}{k})"
+        body = f"select *, {f'sqrt({cov})' if i == j else f'{cov} / l{j}{j}'} as l{i}{j} from ({body})"
+    return f"select pool, start, {NAMES}, {', '.join(FACTOR)}, {' * '.join(f'l{i}{i}' for i in D)} as root from ({body})"
 
 
-def _start(rules: Rules) -> str:
-    scale = lambda i: f"((p{i}[3] - p{i}[1]) / 1.349)"
-    out = [f"p{i}[2] as m{i}" for i in D]
-    out += [f"sqrt({scale(i)} * {scale(i)} + {rules.floor[i]!r}) as l{i}{j}" if i == j else f"0.0::double as l{i}{j}" for i in D for j in range(i + 1)]
+_SUMS = ", ".join(["count(*) as n"] + [f"sum({v})::hugeint as s{i}" for i, v in enumerate(VECTOR)] + [f"sum({VECTOR[i]} * {VECTOR[j]})::hugeint as q{i}{j}" for i, j in PAIRS])
+
+
+def _estimated(moments: str, prior: str, rules: Rules) -> str:
+    means = ", ".join(f"s{i}::double / n::double as m{i}" for i in D)
+    cov = ", ".join(f"(n::hugeint * q{i}{j} - s{i} * s{j})::double / n::double / n::double as c{i}{j}" for i, j in PAIRS)
+    body = f"select pool, start, n, {means}, {cov} from ({moments})"
+    if prior:
+        shrunk = ", ".join(f"(n::double * x.{c} + {rules.prior!r} * y.{c}) / (n::double + {rules.prior!r}) as {c}" for c in MEANS + COVARIANCES)
+        body = f"select x.pool, start, {shrunk} from ({body}) x join {prior} y using (pool)"
+    return _factored(body, rules)
+
+
+def _starts(t: str, prior: str, rules: Rules) -> str:
     quartiles = ", ".join(f"quantile_cont({v}::double, [0.25, 0.5, 0.75]) as p{i}" for i, v in enumerate(VECTOR))
-    return f"e0 as (select pool, {', '.join(out)} from (select pool, {quartiles} from slim group by pool having count(*) >= {rules.least}))"
-
-
-def _step(k: int, rules: Rules) -> str:
-    sums = ", ".join([f"sum({v})::hugeint as s{i}" for i, v in enumerate(VECTOR)] + [f"sum({VECTOR[i]} * {VECTOR[j]})::hugeint as q{i}{j}" for i in D for j in range(i + 1)])
-    # one nested select per column of the factor, as each needs the ones before
-    body = f"select *, {', '.join(f's{i}::double / n::double as m{i}' for i in D)} from core{k}"
-    for i in D:
-        for j in range(i + 1):
-            cov = f"(n::hugeint * q{i}{j} - s{i} * s{j})::double / n::double / n::double + {rules.floor[i] if i == j else 0.0!r}"
-            for c in range(j):
-                cov = f"({cov}) - l{i}{c} * l{j}{c}"
-            body = f"select *, {f'sqrt({cov})' if i == j else f'({cov}) / l{j}{j}'} as l{i}{j} from ({body})"
+    scale = lambda i: f"((p{i}[3] - p{i}[1]) / 1.349)"
+    columns = [f"p{i}[2] as m{i}" for i in D] + [f"{scale(i)} * {scale(i)} as c{i}{j}" if i == j else f"0.0::double as c{i}{j}" for i, j in PAIRS]
+    medians = _factored(f"select pool, 0 as start, {', '.join(columns)} from (select pool, {quartiles} from {t} group by pool)", rules)
+    residue = f"((v_length + 3 * v_symbol + 5 * v_line + 7 * v_repeat) % {rules.parts}) + 1"
+    return f"{medians} union all by name {_estimated(f'select pool, {residue} as start, {_SUMS} from {t} group by all', prior, rules)}"
+
+
+def _step(t: str, e: str, k: int, prior: str, rules: Rules) -> str:
+    body = _estimated(f"select pool, start, {_SUMS} from {e}_c{k} join {e}_x{k} using (pool, start) where cell <= edge group by pool, start", prior, rules)
     return f"""
-    c{k} as materialized (select slim.*, floor(ln({_distance()} + 0.001) * {rules.grid})::bigint as cell from slim join e{k} using (pool)),
-    r{k} as (select pool, cell, sum(c) over (partition by pool order by cell) as run, sum(c) over (partition by pool) as whole from (select pool, cell, count(*) as c from c{k} group by all)),
-    x{k} as (select pool, min(cell) as edge from r{k} where run >= ceil({rules.core}::double * whole) group by pool),
-    core{k} as (select pool, count(*) as n, {sums} from c{k} join x{k} using (pool) where cell <= edge group by pool),
-    e{k + 1} as materialized (select pool, {_columns()} from ({body}))"""
+    {e}_c{k} as materialized (select {t}.*, start, floor(ln({_distance()} + 0.001) * {rules.grid})::bigint as cell from {t} join {e}{k} using (pool)),
+    {e}_r{k} as (select pool, start, cell, sum(c) over (partition by pool, start order by cell) as run, sum(c) over (partition by pool, start) as whole from (select pool, start, cell, count(*) as c from {e}_c{k} group by all)),
+    {e}_x{k} as (select pool, start, min(cell) as edge from {e}_r{k} where run >= ceil({rules.core}::double * whole) group by pool, start),
+    {e}_n{k + 1} as materialized ({body}),
+    {e}{k + 1} as materialized (select * from {e}_n{k + 1}{" qualify row_number() over (partition by pool order by root, start) = 1" if k + 1 == rules.trial else ""})"""
+
+
+def _determinant(t: str, e: str, prior: str, rules: Rules) -> str:
+    return f"{e}0 as materialized ({_starts(t, prior, rules)})," + ",".join(_step(t, e, k, prior, rules) for k in range(rules.steps))
 
 
 def statement(rules: Rules = Rules()) -> str:
-    steps = ",".join(_step(k, rules) for k in range(rules.steps))
     return f"""
-with w as (select doc_id, lang, source, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words from documents),
+with w as (select doc_id, coalesce('=' || lang, 'null') as l, coalesce('=' || source, 'null') as s, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words from documents),
 triples as (select doc_id, i, words[i] || chr(32) || words[i + 1] || chr(32) || words[i + 2] as g from (select doc_id, words, unnest(range(1, len(words) - 1)) as i from w where len(words) > 2)),
 again as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as c from triples) where c > 1),
 repeats as (select doc_id, count(distinct k) as n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) as k from again) group by doc_id),
 lines as (select doc_id, unnest(string_split(t, chr(10))) as line from w),
 dups as (select doc_id, count(*) - count(distinct line) as n_dup_lines, count(*) as n_lines from lines where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by doc_id),
 counted as (
-    select doc_id, lang, source, len(words)::bigint as n_words, length(array_to_string(words, ''))::bigint as word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::bigint as n_symbols,
+    select doc_id, l as language, length(l) || l || s as pool, len(words)::bigint as n_words, length(array_to_string(words, ''))::bigint as word_chars, (length(t) - length(translate(t, '#*$%&|<>', '')))::bigint as n_symbols,
         coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_lines, 0) as n_lines, coalesce(n_repeat_words, 0) as n_repeat_words from w left join dups using (doc_id) left join repeats using (doc_id)),
 judged as (select *, n_words < {rules.min_words} or 100 * n_repeat_words > {rules.max_repeat_percent} * n_words as base_failed from counted),
 stats as (
     select *, floor(ln(greatest(word_chars, 1)::double / greatest(n_words, 1)::double) * 1000 + 0.5)::bigint as v_length, floor(sqrt(n_symbols / greatest(word_chars, 1)::double) * 1000 + 0.5)::bigint as v_symbol,
         floor(sqrt(n_dup_lines / greatest(n_lines, 1)::double) * 1000 + 0.5)::bigint as v_line, floor(sqrt(n_repeat_words / greatest(n_words, 1)::double) * 1000 + 0.5)::bigint as v_repeat from judged),
-groups as (select lang, source, count(*) as n from stats where not base_failed group by all),
-pools as (
-    select lang, source, case when n < {rules.least} and in_lang < {rules.least} then 'rest' when n < {rules.least} then coalesce('=' || lang, 'null') || ' rest' else coalesce('=' || lang, 'null') || ' ' || coalesce('=' || source, 'null') end as pool
-    from (select *, sum(case when n < {rules.least} then n end) over (partition by lang) as in_lang from groups)),
-slim as materialized (select pool, {", ".join(VECTOR)} from stats s join pools p on s.lang is not distinct from p.lang and s.source is not distinct from p.source where not base_failed),
-{_start(rules)},{steps}
+good as materialized (select language, pool, {", ".join(VECTOR)} from stats where not base_failed and language in (select language from stats where not base_failed group by language having count(*) >= {rules.least})),
+wide as (select language as pool, {", ".join(VECTOR)} from good),
+{_determinant("wide", "a", "", rules)},
+priors as materialized (select p.pool, {", ".join(MEANS + COVARIANCES)} from (select distinct pool, language from good) p join a{rules.steps} e on e.pool = p.language),
+{_determinant("good", "b", "priors", rules)}
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and not coalesce(({_distance()}) / {rules.consistency} > {rules.cutoff}, false) as kept
-from stats s left join pools p on s.lang is not distinct from p.lang and s.source is not distinct from p.source left join e{rules.steps} using (pool)
+from stats left join b{rules.steps} using (pool)
 """

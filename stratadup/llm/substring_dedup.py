@@ -26,7 +26,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -235,7 +234,7 @@ def remove_repeats(docs: DataFrame, size: int = 50, inner: int = 8, max_bits: in
                 words = (text.as_buffer().to_pybytes() if text.is_valid else b"").split()
                 count.append(len(words))
                 sums.append(hashlib.sha256(b" ".join(words)).hexdigest())
-            texts = column(batch, "text") if every else pc.if_else(pa.array(maybe), column(batch, "text"), pa.scalar(None, column(batch, "text").type))
+            texts = column(batch, "text") if every else column(batch, "text").take(pa.array(np.arange(len(maybe)), mask=~maybe))
             yield pa.RecordBatch.from_arrays([column(batch, "id"), column(batch, "doc_id"), column(batch, "row"), pa.array(count, pa.int64()), pa.array(sums, pa.string()), texts, *[column(batch, c) for c in others]], names=["id", "doc_id", "row", "n_words", "whole_sha256", "text", *others])
 
     def cover(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -96,7 +96,7 @@ def test_chains_of_near_copies(spark):
 
 def test_links_of_odd_tables(spark, docs, nothing, texts):
     assert ngram_join.link(nothing).count() == 0
-    twice = docs.union(docs).union(docs.withColumn("doc_id", F.lit(None).cast("long"))).withColumn("TEXT", F.lit("another"))
+    twice = docs.union(docs).union(docs.withColumn("doc_id", F.lit(None).cast("long"))).select("*", F.lit("another").alias("TEXT"))
     rows = ngram_join.link(twice).collect()
     want = brute_components(texts)
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows if r.doc_id is not None} == want
