@@ -3,10 +3,11 @@
 quality rules -> line classifier -> near duplicates -> repeated passages -> packing. A stage is
 a function of (spark, docs, sf_dir); all but the last return the columns of `documents`.
 
-Null texts count as empty: the rules reject them. Rows without an id leave with the first stage.
-Rows that share an id all stay if the rules keep one of them, and are classified each for itself;
-of those that are left the near-duplicate stage keeps the one with the least text. An empty table stays
-empty. Columns that `documents` does not have are dropped.
+A row is a document: every decision is taken row by row, also where rows share an id or have
+none. Null and empty texts fail the rules. Of near duplicates the row with the least id stays;
+rows whose id is repeated or null come after those whose id is their own. An empty table stays
+empty. Columns that `documents` does not have are dropped, whatever their names. Stage outputs
+but the last are deleted when the last is written.
 """
 
 from __future__ import annotations
@@ -18,19 +19,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratadup.llm import line_crf, ngram_join, packing, robust_rules, substring_dedup
-from stratadup.llm.durable import shared_dir
+from stratadup.llm.durable import durable, remove, shared_dir
+from stratadup.llm.textkit import pick
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose ids are listed."""
-    return docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    return _keep(docs, robust_rules.judge(docs).where("kept"))
+    return robust_rules.accepted(docs, tuple(COLUMNS))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,20 +38,27 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each linked group stays."""
-    kept = _keep(docs, ngram_join.link(docs).where("doc_id = component_id"))
-    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        least = kept.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("r"))
-        kept = least.select("doc_id", "r.*").select(*COLUMNS)
-    return kept
+    docs = pick(docs, *COLUMNS)
+    again = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("again"))
+    if not again.limit(1).count():
+        ids = ngram_join.link(docs).where("doc_id = component_id").select("doc_id")
+        return docs.join(ids, "doc_id", "left_semi").select(*COLUMNS)
+    # rows that share an id get numbers of their own, above all ids
+    top = docs.agg(F.max("doc_id")).first()[0] or 0
+    marked = docs.join(durable(again), docs["doc_id"].eqNullSafe(F.col("again")), "left_semi")
+    marked = marked.withColumn("row", F.monotonically_increasing_id() + F.lit(top + 1))
+    others = docs.join(durable(again), docs["doc_id"].eqNullSafe(F.col("again")), "left_anti").withColumn("row", F.col("doc_id"))
+    rows = durable(marked.unionByName(others))
+    ids = ngram_join.link(rows.select(F.col("row").alias("doc_id"), "text")).where("doc_id = component_id").select(F.col("doc_id").alias("row"))
+    return rows.join(ids, "row", "left_semi").select(*COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of repeated passages go; texts without any stay as they are, emptied ones leave."""
-    cut = substring_dedup.remove_repeats(docs).where("n_removed > 0").select("doc_id", "kept")
-    joined = docs.join(cut, "doc_id", "left")
-    text = F.coalesce("kept", "text")
-    out = joined.withColumn("n_chars", F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept").cast("long"))).withColumn("text", text)
-    return out.where(F.col("kept").isNull() | (F.col("kept") != "")).select(*COLUMNS)
+    cut = substring_dedup.remove_repeats(docs, keep=tuple(COLUMNS))
+    n_chars = F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept").cast("long")).alias("n_chars")
+    left = cut.where(F.col("kept").isNull() | (F.col("kept") != ""))
+    return left.select("doc_id", F.coalesce("kept", "text").alias("text"), "lang", "source", n_chars)
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,8 +82,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`; what a stage returns is written to the shared folder."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared_dir(spark).rstrip('/')}/pipeline_{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES:
         at = f"{base}/{name}"
         stage(spark, docs, sf_dir).write.parquet(at)
-        docs = spark.read.parquet(at)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(at), at
     return docs
