@@ -19,9 +19,9 @@ import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from stratadup.llm.textkit import Memo, column
+from stratadup.llm.textkit import Memo, column, pick, released
 
-MEMO_ENTRIES = 1_200_000
+MEMO_BYTES = 64 << 20
 _PLAIN_LIMIT = "ɐ"  # below it the regex module and the library agree on letters and digits
 
 
@@ -65,7 +65,7 @@ def merge_count(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
 class WordBpeCounter:
     """Counts as the library gives them for a vocabulary with word ends that drops white space."""
 
-    def __init__(self, path: str, memo_entries: int = MEMO_ENTRIES):
+    def __init__(self, path: str, memo_bytes: int = MEMO_BYTES):
         from tokenizers import Tokenizer
 
         spec = json.load(open(path))
@@ -76,8 +76,8 @@ class WordBpeCounter:
         special = [a["content"] for a in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.alphabet = byte_alphabet()
-        self.pieces = Memo(self._piece, memo_entries // 4)
-        self.chunks = Memo(self._chunk, memo_entries)
+        self.pieces = Memo(self._piece, memo_bytes // 4)
+        self.chunks = Memo(self._chunk, memo_bytes * 3 // 4)
         self.spaces = regex.compile(r"\p{White_Space}+")
 
     def _piece(self, piece: str) -> int:
@@ -113,8 +113,10 @@ def counter(path: str) -> WordBpeCounter:
 def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFrame:
     """Bytes and tokens of every text, and whether the tokens exceed `limit`.
 
-    A null text counts as empty; ids pass through, null or repeated ones too. `vocabulary` is
-    the path of a tokenizer file that every worker can open.
+    A null text counts as empty; ids pass through, null or repeated ones too, and equal texts have
+    equal counts. A text is counted whole, chunk by chunk, however long. Further columns of the
+    table are ignored, whatever their names. `vocabulary` is the path of a tokenizer file that
+    every worker can open.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,6 +129,7 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = 2048) -> DataFra
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
             )
 
+    docs = pick(docs, "doc_id", "text")
     rows = docs.select(docs["doc_id"], docs["text"].cast("string").alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return rows.mapInArrow(released(run), f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean")

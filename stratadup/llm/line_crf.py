@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratadup.llm import textkit
-from stratadup.llm.textkit import column
+from stratadup.llm.textkit import column, pick, released
 
 OWN = 12
 FEATURES = 3 * OWN + 2
@@ -32,7 +32,7 @@ class Training:
     """`documents` bounds the sample; longer documents than `lines` lines take no part in it."""
 
     documents: int = 3000
-    lines: int = 2000
+    lines: int = 200
     rounds: int = 160
     rate: float = 0.15
     penalty: float = 1e-3
@@ -50,13 +50,8 @@ class Model:
     link: tuple[float, float] = (0.0, 0.0)
 
 
-def _per_line(flags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    total = np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
-    return (total[ends] - total[starts]).astype(np.float64)
-
-
 def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of every line, line lengths (bytes, plus one), and bounds of texts in lines."""
+    """Every line's own features, line lengths (bytes, plus one), and bounds of texts in lines."""
     words = textkit.split(texts)
     raw, lengths = words.data, _byte_lengths(texts)
     at = np.concatenate(([0], np.cumsum(lengths)))
@@ -69,13 +64,16 @@ def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(starts)
     size = (ends - starts).astype(np.float64)
     chars = np.maximum(size, 1)
-    nxt = np.append(raw[1:], 0) if len(raw) else raw
-    upper = ((raw >= 65) & (raw <= 90)) | ((raw == 0xC3) & (nxt >= 0x80) & (nxt <= 0x9E))
-    letter = ((raw | 32) >= 97) & ((raw | 32) <= 122) | (raw >= 0x80)
-    digit = (raw >= 48) & (raw <= 57)
-    symbol = np.isin(raw, np.frombuffer(b"#*$%&|<>", np.uint8))
-    shout = (raw == 33) | (raw == 63)
-    mark = (raw > 32) & ~letter & ~digit & ~symbol & ~shout
+
+    def share(flags) -> np.ndarray:
+        return textkit.span_counts(lambda a, b: flags(raw[a:b], raw[a + 1 : b + 1]), len(raw), starts, ends) / chars
+
+    def upper(x: np.ndarray, after: np.ndarray) -> np.ndarray:
+        two = x == 0xC3
+        two[len(after) :] = False
+        two[: len(after)] &= (after >= 0x80) & (after <= 0x9E)
+        return ((x >= 65) & (x <= 90)) | two
+
     hashes = words.hashes()
     # the line of a word: the last one that begins at or before it, among lines with characters
     line = np.searchsorted(starts, words.starts, "right") - 1
@@ -92,27 +90,60 @@ def line_features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     own = np.stack(
         [
             np.log1p(size),
-            _per_line(upper, starts, ends) / chars,
-            np.sqrt(_per_line(symbol, starts, ends) / chars),
-            np.sqrt(_per_line(shout, starts, ends) / chars),
-            _per_line(digit, starts, ends) / chars,
-            _per_line(mark, starts, ends) / chars,
+            share(upper),
+            np.sqrt(share(lambda x, _: _KIND[x] == 3)),
+            np.sqrt(share(lambda x, _: _KIND[x] == 4)),
+            share(lambda x, _: _KIND[x] == 2),
+            share(lambda x, _: _KIND[x] == 5),
             repeat / some,
             np.sqrt(run / some),
             np.log1p(count),
             np.log(np.maximum(size - count, 1) / some),
             (count == 0).astype(np.float64),
-            np.minimum(_per_line(raw >= 0x80, starts, ends) / chars, 1),
+            np.minimum(share(lambda x, _: x >= 0x80), 1),
         ],
         axis=1,
     )
+    return own, size + 1, bounds
+
+
+def _kinds() -> np.ndarray:
+    """Bytes by kind: 1 letters and parts of other characters, 2 digits, 3 symbols, 4 ! and ?, 5 other marks."""
+    kind = np.zeros(256, np.uint8)
+    kind[33:] = 5
+    kind[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+    kind[48:58] = 2
+    kind[list(b"#*$%&|<>")] = 3
+    kind[list(b"!?")] = 4
+    return kind
+
+
+_KIND = _kinds()
+
+
+def with_neighbours(own: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """A line's features, those of the lines before and after it, and whether it is first or last."""
     before, after = np.zeros_like(own), np.zeros_like(own)
     before[1:], after[:-1] = own[:-1], own[1:]
     first, last = bounds[:-1], bounds[1:] - 1
     before[first], after[last] = 0, 0
-    edge = np.zeros((n, 2))
+    edge = np.zeros((len(own), 2))
     edge[first, 0], edge[last, 1] = 1, 1
-    return np.hstack((own, before, after, edge)), size + 1, bounds
+    return np.hstack((own, before, after, edge))
+
+
+def line_scores(model: Model, own: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The scores of `with_neighbours` features, without building them."""
+    w = model.weights[:-1] / model.scale
+    out = own @ w[:OWN] + (model.weights[-1] - model.centre @ w)
+    before, after = own @ w[OWN : 2 * OWN], own @ w[2 * OWN : 3 * OWN]
+    first, last = bounds[:-1], bounds[1:] - 1
+    before[last], after[first] = 0, 0  # they count for the next and the previous line
+    out[1:] += before[:-1]
+    out[:-1] += after[1:]
+    out[first] += w[-2]
+    out[last] += w[-1]
+    return out
 
 
 def _byte_lengths(texts: pa.Array) -> np.ndarray:
@@ -141,9 +172,8 @@ def _messages(scores: np.ndarray, bounds: np.ndarray, moves: np.ndarray) -> tupl
     return forward, backward
 
 
-def marginals(model: Model, features: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def marginals(model: Model, scores: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """The probability of "good" at every line."""
-    scores = ((features - model.centre) / model.scale) @ model.weights[:-1] + model.weights[-1]
     forward, backward = _messages(scores, bounds, model.moves)
     return 1 / (1 + np.exp(-np.clip(forward + backward, -60, 60)))
 
@@ -192,14 +222,14 @@ def fit_link(mean: np.ndarray, labels: np.ndarray, penalty: float = 1e-2, rounds
     return float(theta[0]), max(float(theta[1]), 0.0)
 
 
-def qualities(model: Model, features: np.ndarray, size: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def qualities(model: Model, own: np.ndarray, size: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """Every text's quality, from marginals weighted by line length."""
-    mean = mean_marginals(model, features, size, bounds)
+    mean = mean_marginals(model, own, size, bounds)
     return 1 / (1 + np.exp(-np.clip(model.link[0] + model.link[1] * (mean - 0.5), -60, 60)))
 
 
-def mean_marginals(model: Model, features: np.ndarray, size: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    p = marginals(model, features, bounds)
+def mean_marginals(model: Model, own: np.ndarray, size: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    p = marginals(model, line_scores(model, own, bounds), bounds)
     return np.add.reduceat(size * p, bounds[:-1]) / np.add.reduceat(size, bounds[:-1])
 
 
@@ -209,47 +239,56 @@ def held_out(key: Column) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, training: Training = Training()) -> Model:
-    """Fit on the labelled documents that are not held out, taken in the order of a hash."""
+    """Fit on the labelled documents that are not held out, taken in the order of a hash.
+
+    Of rows that repeat an id the one with the least text hash takes part, of labels the largest.
+    Null texts are one empty line.
+    """
 
     def collect_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.slices(batches):
-            x, _, bounds = line_features(column(batch, "text"))
-            rows = [(d, q, x[a:b].astype("<f4").tobytes()) for d, q, a, b in zip(column(batch, "doc_id").to_pylist(), column(batch, "quality").to_pylist(), bounds, bounds[1:], strict=False) if b - a <= training.lines]
+            own, _, bounds = line_features(column(batch, "text"))
+            rows = [(d, q, own[a:b].astype("<f4").tobytes()) for d, q, a, b in zip(column(batch, "doc_id").to_pylist(), column(batch, "quality").to_pylist(), bounds, bounds[1:], strict=False) if b - a <= training.lines]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["doc_id", "quality", "lines"])
 
+    docs, labels = pick(docs, "doc_id", "text"), pick(labels, "doc_id", "quality")
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(training.documents)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # at most `documents` rows of two numbers
     joined = texts.join(F.broadcast(sample), "doc_id")
-    rows = joined.mapInArrow(collect_lines, "doc_id long, quality int, lines binary").toPandas().sort_values(["doc_id", "quality"])
+    single = joined.groupBy("doc_id", "quality").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("least"))
+    rows = single.select("doc_id", "quality", "least.text").mapInArrow(released(collect_lines), "doc_id long, quality int, lines binary").toPandas().sort_values("doc_id")
     if not len(rows):
         return fit(np.zeros((0, FEATURES)), np.zeros(1, np.int64), np.zeros(0), training)
-    parts = [np.frombuffer(b, "<f4").reshape(-1, FEATURES).astype(np.float64) for b in rows["lines"]]
+    parts = [np.frombuffer(b, "<f4").reshape(-1, OWN) for b in rows["lines"]]
     bounds = np.concatenate(([0], np.cumsum([len(p) for p in parts])))
-    x, y = np.vstack(parts), rows["quality"].to_numpy()
-    model = fit(x, bounds, y, training)
-    mean = mean_marginals(model, x, np.exp(x[:, 0]), bounds)  # the first feature is log(1 + size)
+    own, y = np.vstack(parts).astype(np.float64), rows["quality"].to_numpy()
+    model = fit(with_neighbours(own, bounds), bounds, y, training)
+    mean = mean_marginals(model, own, np.exp(own[:, 0]), bounds)  # the first feature is log(1 + size)
     return replace(model, link=fit_link(mean, y))
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.3, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`score` and `predicted` of every whole text, beside the columns `keep`.
 
-    Null and empty texts are one empty line. Rows that repeat an id are scored each for itself.
+    Null and empty texts are one empty line. Rows that repeat an id or have none are scored each
+    for itself; equal texts have equal scores. A text is scored whole, in numbers of 12 features a
+    line. Columns that are not in `keep` are ignored, whatever their names.
     """
-    rows = docs.select(*[docs[c] for c in keep if c != "text"], docs["text"].cast("string").alias("text"))
+    docs = pick(docs, *[c for c in keep if c != "text"], "text")
+    rows = docs.withColumn("text", docs["text"].cast("string"))
     names = [c for c in rows.columns if c != "text" or "text" in keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in textkit.slices(batches):
-            x, size, bounds = line_features(column(batch, "text"))
-            total = qualities(model, x, size, bounds)
+            own, size, bounds = line_features(column(batch, "text"))
+            total = qualities(model, own, size, bounds)
             yield pa.RecordBatch.from_arrays([column(batch, c) for c in names] + [pa.array(total), pa.array((total >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
 
     kinds = dict(rows.dtypes)
-    return rows.mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", score double, predicted int")
+    return rows.mapInArrow(released(run), ", ".join(f"`{c}` {kinds[c]}" for c in names) + ", score double, predicted int")
 
 
 def classify(docs: DataFrame, labels: DataFrame, training: Training = Training()) -> DataFrame:

@@ -27,10 +27,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from stratadup.llm.textkit import Memo, column, mix
+from stratadup.llm.textkit import Memo, column, mix, pick, released
 
 MARK = "▁"
-MEMO_ENTRIES = 1_400_000
+MEMO_BYTES = 256 << 20
 LONG = 24  # candidates from which skips are drawn while merging, and nothing is remembered
 _MASK = 2**64 - 1
 
@@ -53,7 +53,7 @@ class Merged:
 class Codec:
     """Encodes texts to ids and decodes them, for a byte-fallback BPE model."""
 
-    def __init__(self, path: str, dropout: Dropout, memo_entries: int = MEMO_ENTRIES):
+    def __init__(self, path: str, dropout: Dropout, memo_bytes: int = MEMO_BYTES):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -79,9 +79,10 @@ class Codec:
         self.feed = fixed(self.byte_ids[10]) if not any("\n" in p for p in self.ids) else None
         self.dropout = dropout
         self.chunks = regex.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.memo = Memo(lambda c: self._parts(MARK, c), memo_entries // 4)
-        self.inner = Memo(lambda c: self._parts("", c), memo_entries // 8)
-        self.room = memo_entries // 2
+        cost = lambda key, parts: 240 + 2 * len(key) + sum(112 + len(m.ids) + 8 * len(m.skips) for m in parts)
+        self.memo = Memo(lambda c: self._parts(MARK, c), memo_bytes * 3 // 8, cost)
+        self.inner = Memo(lambda c: self._parts("", c), memo_bytes // 8, cost)
+        self.room = memo_bytes // 2
         self.seed = int.from_bytes(hashlib.blake2b(f"{dropout.seed}".encode(), digest_size=8).digest(), "little")
         # entry m - 1 from behind: draws below it, of 2**53, let m candidates or more pass
         self.passing = [int((1 - dropout.rate) ** m * 2**53) for m in range(int(37 / dropout.rate) + 1, 0, -1)] if dropout.rate else []
@@ -163,7 +164,7 @@ class Codec:
             if found is None:
                 found = self._merged(m.chunk, (*m.skips, at))
                 if self.room > 0:
-                    self.room -= 1
+                    self.room -= 400 + len(found.ids) + 8 * len(found.skips)
                     m.then = m.then or {}
                     m.then[at] = found
             k += 1
@@ -219,8 +220,9 @@ def encode(docs: DataFrame, model: str, dropout: Dropout = Dropout()) -> DataFra
             bounds = np.concatenate(([0], np.cumsum([len(i) for i in ids]))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.ListArray.from_arrays(pa.array(bounds), pa.array(np.concatenate([*ids, np.zeros(0, np.int32)])))], names=["doc_id", "ids"])
 
+    docs = pick(docs, "doc_id", "text")
     rows = docs.select(docs["doc_id"], docs["text"].cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, ids array<int>")
+    return rows.mapInArrow(released(run), f"doc_id {dict(rows.dtypes)['doc_id']}, ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:
@@ -233,13 +235,15 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     rows = encoded.select("doc_id", "ids")
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, text string")
+    return rows.mapInArrow(released(run), f"doc_id {dict(rows.dtypes)['doc_id']}, text string")
 
 
 def round_trip(docs: DataFrame, model: str, dropout: Dropout = Dropout()) -> DataFrame:
     """Per document: bytes, pieces, a checksum of the ids, and whether decoding restores the text.
 
-    Ids pass through, null or repeated ones too; null texts count as empty.
+    Ids pass through, null or repeated ones too; null texts count as empty. Rows with equal ids and
+    texts have equal pieces. A text is encoded whole, however long. Further columns of the table
+    are ignored, whatever their names.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,5 +256,6 @@ def round_trip(docs: DataFrame, model: str, dropout: Dropout = Dropout()) -> Dat
                     o.append(x)
             yield pa.RecordBatch.from_arrays([column(batch, "doc_id"), *[pa.array(o, pa.int64()) for o in out[:3]], pa.array(out[3], pa.bool_())], names=["doc_id", "n_bytes", "n_pieces", "ids_crc32", "lossless"])
 
+    docs = pick(docs, "doc_id", "text")
     rows = docs.select(docs["doc_id"], docs["text"].cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, n_bytes long, n_pieces long, ids_crc32 long, lossless boolean")
+    return rows.mapInArrow(released(run), f"doc_id {dict(rows.dtypes)['doc_id']}, n_bytes long, n_pieces long, ids_crc32 long, lossless boolean")

@@ -79,6 +79,19 @@ def _span_sums(values, n: int, starts: np.ndarray, ends: np.ndarray, seed: int)
     return out * down.at(starts)
 
 
+def span_counts(flags, n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """How many of the places of every span are flagged; `flags(a, b)` tells for the places a to b."""
+    out, total = np.zeros(len(starts), np.int64), 0
+    for a in range(0, n, BLOCK_BYTES):
+        b = min(a + BLOCK_BYTES, n)
+        sums = np.concatenate(([0], np.cumsum(flags(a, b), dtype=np.int64))) + total
+        total = sums[-1]
+        for at, sign in ((starts, -1), (ends, 1)):
+            x, y = np.searchsorted(at, (a, b + (b == n)))
+            out[x:y] += sign * sums[at[x:y] - a]
+    return out
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijective finaliser on unsigned 64-bit integers."""
     x = x ^ _U((0x9E3779B97F4A7C15 * (seed + 1)) % 2**64)

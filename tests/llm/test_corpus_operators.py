@@ -150,8 +150,8 @@ def test_marginals_equal_enumeration():
     rng = np.random.RandomState(0)
     model = line_crf.Model(rng.normal(size=4), rng.normal(size=(2, 2)), np.zeros(3), np.ones(3))
     x, bounds = rng.normal(size=(8, 3)), np.array([0, 3, 4, 8])
-    got = line_crf.marginals(model, x, bounds)
     s = x @ model.weights[:-1] + model.weights[-1]
+    got = line_crf.marginals(model, s, bounds)
     for a, b in zip(bounds, bounds[1:], strict=False):
         weight, good = 0.0, np.zeros(b - a)
         for code in range(2 ** (b - a)):
@@ -169,6 +169,31 @@ def test_line_bounds(texts):
     assert size.tolist() == [float(x) for w in want for x in w]
 
 
+def test_line_scores_equal_those_of_all_features(texts):
+    rng = np.random.RandomState(3)
+    model = line_crf.Model(rng.normal(size=line_crf.FEATURES + 1), rng.normal(size=(2, 2)), rng.normal(size=line_crf.FEATURES), rng.uniform(0.5, 2, line_crf.FEATURES))
+    own, _, bounds = line_crf.line_features(pa.array(texts))
+    x = line_crf.with_neighbours(own, bounds)
+    want = ((x - model.centre) / model.scale) @ model.weights[:-1] + model.weights[-1]
+    assert np.allclose(line_crf.line_scores(model, own, bounds), want)
+
+
+def test_line_features_equal_counting(texts):
+    own, _, bounds = line_crf.line_features(pa.array(texts))
+    lines = [line.encode() for t in texts for line in (t or "").split("\n")]
+    assert len(lines) == len(own) == bounds[-1]
+    for line, x in zip(lines, own, strict=True):
+        words = [w for w in re.split(rb"[\x20\x09-\x0D]+", line) if w]
+        count = lambda chars: sum(b in chars for b in line) / max(len(line), 1)
+        assert math.isclose(x[0], math.log1p(len(line))) and math.isclose(x[8], math.log1p(len(words)))
+        assert math.isclose(x[4], count(b"0123456789")) and math.isclose(x[2], math.sqrt(count(b"#*$%&|<>")))
+        assert math.isclose(x[6], (len(words) - len(set(words))) / max(len(words), 1))
+        two = sum(a == 0xC3 and 0x80 <= b <= 0x9E for a, b in zip(line, line[1:], strict=False))
+        assert math.isclose(x[1], count(bytes(range(65, 91))) + two / max(len(line), 1))
+        marks = {b for b in range(33, 128)} - {*b"#*$%&|<>!?0123456789", *range(65, 91), *range(97, 123)}
+        assert math.isclose(x[5], count(marks))
+
+
 def test_classifier_on_held_out_documents(spark, docs, nothing):
     table = lambda name: spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
     scored = line_crf.classify(table("documents"), table("labels")).join(table("labels"), "doc_id").where("held_out")

@@ -23,7 +23,7 @@ def test_counts_equal_the_library():
     from tokenizers import Tokenizer
 
     path = P.path("word_bpe_49k.json")
-    library, counter = Tokenizer.from_file(path), bpe_counts.WordBpeCounter(path, 100)
+    library, counter = Tokenizer.from_file(path), bpe_counts.WordBpeCounter(path, 20_000)
     for text in odd_texts(1, 1500):
         assert counter.count(text) == len(library.encode(text, add_special_tokens=False).ids), text
 
@@ -114,7 +114,7 @@ def test_pieces_without_dropout_are_the_library_s():
     import sentencepiece
 
     path = P.path("piece_bpe_32k.model")
-    library, codec = sentencepiece.SentencePieceProcessor(model_file=path), merge_dropout.Codec(path, merge_dropout.Dropout(rate=0.0), 50)
+    library, codec = sentencepiece.SentencePieceProcessor(model_file=path), merge_dropout.Codec(path, merge_dropout.Dropout(rate=0.0), 30_000)
     for text in odd_texts(3):
         assert np.frombuffer(codec.encode(text), "<u4").tolist() == library.encode(text), text
 
