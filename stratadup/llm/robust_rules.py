@@ -93,18 +93,17 @@ def measure(docs: DataFrame, rules: Rules, keep: tuple[str, ...] = ()) -> DataFr
     rows = rows.withColumn("w", F.filter(F.split(F.col("t"), SPACE), lambda x: x != ""))
     rows = rows.withColumn("h", F.expr("case when size(w) < 3 then cast(array() as array<bigint>) else transform(sequence(0, size(w) - 3), i -> xxhash64(w[i], w[i + 1], w[i + 2])) end"))
     lines = F.filter(F.split(F.col("t"), "\n"), lambda x: x.rlike(WORD))
-    rows = rows.select(
-        "doc_id",
-        "language",
-        "pool",
-        *kept,
-        F.size("w").cast("long").alias("n_words"),
-        F.length(F.regexp_replace("t", SPACE, "")).cast("long").alias("word_chars"),
-        (F.length("t") - F.length(F.translate("t", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0].cast("long").alias("n_dup_lines"),
-        F.size(lines).cast("long").alias("n_lines"),
-        _repeat_words().alias("n_repeat_words"),
-    )
+    counts = {
+        "n_words": F.size("w"),
+        "word_chars": F.length(F.regexp_replace("t", SPACE, "")),
+        "n_symbols": F.length("t") - F.length(F.translate("t", "#*$%&|<>", "")),
+        "n_dup_lines": F.transform(F.array(lines), lambda x: F.size(x) - F.size(F.array_distinct(x)))[0],
+        "n_lines": F.size(lines),
+        "n_repeat_words": _repeat_words(),
+    }
+    # a generator of one row, so that no later filter or column repeats the counting
+    once = F.explode(F.array(F.struct(*[c.cast("long").alias(name) for name, c in counts.items()])))
+    rows = rows.select("doc_id", "language", "pool", *kept, once.alias("c")).select("doc_id", "language", "pool", *kept, "c.*")
     failed = (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words"))
     return rows.withColumn("base_failed", failed)
 
