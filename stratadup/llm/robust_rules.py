@@ -27,7 +27,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stratadup.llm.durable import durable
+from stratadup.llm.durable import Scratch, durable
 from stratadup.llm.textkit import pick
 
 WORD = r"[^\x20\x09-\x0D]"
@@ -265,10 +265,11 @@ def judge(docs: DataFrame, rules: Rules = Rules()) -> DataFrame:
 
 
 def accepted(docs: DataFrame, keep: tuple[str, ...], rules: Rules = Rules()) -> DataFrame:
-    """The columns `keep` of the documents that are kept, row by row. Texts are measured twice, so
-    that they need not travel through a shuffle."""
-    estimate = estimate_pools(measure(docs, rules), rules)
-    rows = apply_estimates(measure(docs, rules, keep), estimate, rules).where("kept")
+    """The columns `keep` of the documents that are kept, row by row. They are written with the
+    counts once, so that texts are measured once and travel through no shuffle; the result reads
+    that table in the shared folder."""
+    measured = Scratch(docs.sparkSession).keep(measure(docs, rules, keep))
+    rows = apply_estimates(measured, estimate_pools(measured, rules), rules).where("kept")
     return rows.select(*[F.col(f"keep{i}").alias(c) for i, c in enumerate(keep)])
 
 
