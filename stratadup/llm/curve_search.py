@@ -16,6 +16,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stratadup.llm.durable import durable
-from stratadup.llm.textkit import column
+from stratadup.llm.textkit import column, pick
 
 _U = np.uint64
 
@@ -95,32 +96,35 @@ def _inner(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 def valid_vectors(table: DataFrame, key: str, vector: str) -> DataFrame:
-    """Rows (id, v): vectors of the commonest length without null or non-finite components, not zero."""
-    rows = table.select(table[key].cast("long").alias("id"), table[vector].alias("v")).where("id is not null and v is not null and size(v) > 0")
-    good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = rows.where(good)
-    common = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    return rows.where(F.size("v") == (common[0]["n"] if common else 0))
+    """Rows (id, v): vectors without null or non-finite components, not zero."""
+    table = pick(table, key, vector).toDF("id", "v")
+    rows = table.select(F.col("id").cast("long").alias("id"), "v").where("id is not null and v is not null and size(v) > 0")
+    return rows.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0))
 
 
 def search(table: DataFrame, key: str, vector: str, is_query, k: int, curves: Curves = Curves()) -> DataFrame:
     """Rows (query_id, rank, vec_id, score) for every valid vector whose id satisfies `is_query`.
 
     `is_query` makes a condition from the id's column. Null ids and unusable vectors take no
-    part; repeated rows count once; ties in the score go to smaller ids.
+    part; vectors of another length are no candidates of a query, and every length is searched by
+    itself. Repeated rows count once; of equal scores the smaller ids come first, and none is cut
+    before. An empty table gives an empty result. Further columns are ignored, whatever their names.
     """
     rows = valid_vectors(table, key, vector)
+    lengths = [r[0] for r in rows.select(F.size("v")).distinct().collect()]  # a row per length
+    found = [_search(rows.where(F.size("v") == n), is_query, k, curves) for n in sorted(lengths)]
+    empty = table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    return reduce(DataFrame.unionByName, found) if found else empty
+
+
+def _search(rows: DataFrame, is_query, k: int, curves: Curves) -> DataFrame:
     kind = dict(rows.dtypes)["v"]
     unique = rows.dropDuplicates(["v", "id"])
     ranked = unique.withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1)
     copies = durable(ranked.withColumn("group", F.min("id").over(Window.partitionBy("v"))).select("group", "id", "v"))
     points = copies.where("id = group").select("group", "v")
     wanted = durable(rows.where(is_query(F.col("id"))).dropDuplicates(["v", "id"]).join(points, "v").select("group", F.col("id").alias("query_id")))
-
-    facts = _facts(points, curves)
-    if facts is None:
-        return wanted.select("query_id", F.lit(0).alias("rank"), F.lit(0).cast("long").alias("vec_id"), F.lit(0.0).alias("score")).where("false")
-    n, dim, longest, centre, scale = facts
+    n, dim, longest, centre, scale = _facts(points, curves)
     found = _windows(points, wanted.select("group").distinct(), kind, n, dim, longest, centre, scale, k, curves)
 
     best = found.groupBy("q", "group").agg(F.max("score").alias("score"))
@@ -144,8 +148,6 @@ def _facts(points: DataFrame, curves: Curves):
                 yield pa.RecordBatch.from_arrays([pa.array([len(x)], pa.int64()), pa.array([x.shape[1]], pa.int64()), pa.array([float(np.sqrt((x * x).sum(1)).max())])], names=["n", "dim", "longest"])
 
     one = points.mapInArrow(norms, "n long, dim long, longest double").agg(F.sum("n"), F.max("dim"), F.max("longest")).first()
-    if not one[0]:
-        return None
     n, dim, longest = one
     r = _directions(curves, dim)
 
@@ -188,16 +190,22 @@ def _windows(points, query_groups, kind, n, dim, longest, centre, scale, k, curv
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, block, points_in, queries_in, last = TaskContext.get().partitionId(), 0, 0, 0, None
+        part, units, first, after, last = TaskContext.get().partitionId(), 0, 0, 0, None
         for batch in batches:
-            out = []
-            for c, q in zip(column(batch, "curve").to_pylist(), column(batch, "query").to_pylist(), strict=True):
-                if (c != last and last is not None) or points_in >= curves.block or queries_in >= 4 * curves.block:
-                    block, points_in, queries_in = block + 1, 0, 0
-                last = c
-                points_in, queries_in = points_in + (not q), queries_in + q
-                out.append(block)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), part, np.int32)), pa.array(out, pa.int32()), column(batch, "group"), column(batch, "query"), column(batch, "v")], names=["part", "block", "group", "query", "v"])
+            curve, query = column(batch, "curve").to_numpy(), column(batch, "query").to_numpy(zero_copy_only=False)
+            out = np.empty(len(curve), np.int32)
+            # a block is full with `block` vectors or four times as many queries
+            weight = np.where(query, 1, 4)
+            edge = [0, *(np.flatnonzero(np.diff(curve)) + 1).tolist(), len(curve)]
+            for a, b in zip(edge, edge[1:], strict=False):
+                if a == b:
+                    continue
+                if curve[a] != last:
+                    last, units, first = curve[a], 0, after
+                run = np.cumsum(weight[a:b])
+                out[a:b] = first + (units + run - weight[a:b]) // (4 * curves.block)
+                units, after = units + int(run[-1]), int(out[b - 1]) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(out), part, np.int32)), pa.array(out), column(batch, "group"), column(batch, "query"), column(batch, "v")], names=["part", "block", "group", "query", "v"])
 
     ordered = durable(dealt.mapInArrow(number, f"part int, block int, group long, query boolean, v {kind}"))
     blocks = ordered.groupBy("part").agg((F.max("block") + 1).cast("long").alias("n"))  # one row per partition
@@ -206,25 +214,35 @@ def _windows(points, query_groups, kind, n, dim, longest, centre, scale, k, curv
     reach = curves.reach(n)
     near = F.when(F.col("query"), F.sequence(F.col("at") - reach, F.col("at") + reach)).otherwise(F.array("at"))
     placed = placed.select(F.explode(near).alias("at"), "group", "query", "v")
-    best_of = k + 5
 
     def window(table: pa.Table) -> pa.Table:
+        """The k + 1 best of a block for each query, by (score, id). The matrix product only leaves
+        out what is below the last of these by more than its rounding."""
         table = table.combine_chunks()
         asks = table["query"].to_numpy()
         group = table["group"].to_numpy()
         v = matrix(table["v"].combine_chunks())
         q, x = v[asks], v[~asks]
         qs, xs = group[asks], group[~asks]
+        order = np.argsort(xs, kind="stable")
+        x, xs = x[order], xs[order]
+        largest = np.sqrt((x * x).sum(1).max()) if len(x) else 0.0
         out: list[list[np.ndarray]] = [[], [], []]
-        for a in range(0, len(q) if len(x) else 0, 512):
-            part = q[a : a + 512]
+        m = min(k + 1, len(x))
+        for a in range(0, len(q) if len(x) else 0, 256):
+            part = q[a : a + 256]
             rough = part @ x.T
-            m = min(best_of, len(x))
-            at = np.argpartition(-rough, m - 1, axis=1)[:, :m]
-            rows = np.repeat(np.arange(len(part)), m)
-            out[0].append(qs[a : a + 512][rows])
-            out[1].append(xs[at.ravel()])
-            out[2].append(_inner(part[rows], x[at.ravel()]))
+            slack = np.sqrt((part * part).sum(1)) * largest * (x.shape[1] + 8) * 2.0**-51
+            least = np.partition(rough, len(x) - m, axis=1)[:, len(x) - m] - slack
+            rows, at = np.nonzero(rough >= least[:, None])
+            score = _inner(part[rows], x[at])
+            by = np.lexsort((at, -score, rows))
+            rows, at, score = rows[by], at[by], score[by]
+            place = np.arange(len(rows)) - np.searchsorted(rows, np.arange(len(part)))[rows]
+            best = place < m
+            out[0].append(qs[a : a + 256][rows[best]])
+            out[1].append(xs[at[best]])
+            out[2].append(score[best])
         cat = lambda c, t: pa.array(np.concatenate(c) if c else np.zeros(0), t)
         return pa.table({"q": cat(out[0], pa.int64()), "group": cat(out[1], pa.int64()), "score": cat(out[2], pa.float64())})
 

@@ -221,13 +221,21 @@ def brute_search(rows, k):
     import struct
 
     f32 = lambda v: [struct.unpack("f", struct.pack("f", x))[0] for x in v]
-    good = {i: f32(v) for i, v in rows if i is not None and v and None not in v and all(map(math.isfinite, v)) and any(v) and len(v) == 6}
+    good = {i: f32(v) for i, v in rows if i is not None and v and None not in v and all(map(math.isfinite, v)) and any(v)}
     out = {}
     for i in good:
         if i % 5 == 0:
-            near = sorted((-sum(a * b for a, b in zip(good[i], good[j], strict=True)), j) for j in good if j != i)
+            near = sorted((-sum(a * b for a, b in zip(good[i], good[j], strict=True)), j) for j in good if j != i and len(good[j]) == len(good[i]))
             out[i] = [j for _, j in near[:k]]
-    return out
+    return {i: v for i, v in out.items() if v}
+
+
+def test_search_among_equal_scores(spark):
+    """3,000 different vectors with the same product: the least ids are found."""
+    rows = [(0, [1.0, 0.0, 0.0])] + [(i, [0.5, math.cos(i) / 2, math.sin(i) / 2]) for i in range(1, 3000)]
+    table = vectors(spark, [(i, v, 0) for i, v in rows]).select("*", F.lit(1).alias("EMBEDDING"))
+    got = curve_search.search(table, "vec_id", "embedding", lambda c: c == 0, 20).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == list(range(1, 21)) and {r.score for r in got} == {0.5}
 
 
 def test_search_on_odd_vectors(spark):
@@ -235,7 +243,7 @@ def test_search_on_odd_vectors(spark):
     rows = [(i, [float(x) for x in rng.normal(size=6) * (1 + i % 3)]) for i in range(120)]
     same = rows[3][1]
     rows += [(i, same) for i in range(200, 260)]
-    rows += [(300, None), (305, []), (310, [0.0] * 6), (315, [float("nan")] * 6), (320, [None, 1.0, 1.0, 1.0, 1.0, 1.0]), (325, [float("inf")] * 6), (None, same), (330, [1.0, 2.0]), rows[0]]
+    rows += [(300, None), (305, []), (310, [0.0] * 6), (315, [float("nan")] * 6), (320, [None, 1.0, 1.0, 1.0, 1.0, 1.0]), (325, [float("inf")] * 6), (None, same), (330, [1.0, 2.0]), (335, [2.0, 2.0]), (340, [1.0, 2.0]), rows[0]]
     table = vectors(spark, [(i, v, 0) for i, v in rows])
     got = {}
     for r in curve_search.search(table, "vec_id", "embedding", lambda c: c % 5 == 0, 7, curve_search.Curves(block=512)).orderBy("query_id", "rank").collect():
