@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from stratadup.llm import textkit
 from stratadup.llm.durable import durable, mounted_dir
-from stratadup.llm.textkit import column
+from stratadup.llm.textkit import column, pick, released
 
 END = np.uint64(0x5BD1E995C2B2AE35)  # stands for the end of a text among word hashes
 GATHERED = 4_000_000
@@ -214,7 +214,7 @@ def train(texts: DataFrame, per_shard: int = 5000) -> Model:
         _save(folder, f"count{s}", n)
         return pa.table({"shard": pa.array([s], pa.int64()), "size": pa.array([len(keys)], pa.int64()), "n": pa.array([int(n.sum())], pa.int64())})
 
-    found = texts.mapInArrow(words, BLOCK).groupBy("shard").applyInArrow(word_shard, "shard long, size long, n long").collect()
+    found = texts.mapInArrow(released(words), BLOCK).groupBy("shard").applyInArrow(word_shard, "shard long, size long, n long").collect()
     size = np.zeros(shards, np.int64)
     for r in found:
         size[r["shard"]] = r["size"]
@@ -287,7 +287,7 @@ def train(texts: DataFrame, per_shard: int = 5000) -> Model:
                 facts = [int(sums[0].sum())] + [int((sums[0] == k).sum()) for k in (1, 2, 3, 4)] + [int((sums[0] >= 3).sum())]
         return pa.table({"shard": pa.array([s], pa.int64()), "facts": pa.array([facts], pa.list_(pa.int64()))})
 
-    blocks = texts.mapInArrow(pairs, BLOCK).groupBy("shard").applyInArrow(pair_shard, BLOCK)
+    blocks = texts.mapInArrow(released(pairs), BLOCK).groupBy("shard").applyInArrow(pair_shard, BLOCK)
     facts = blocks.groupBy("shard").applyInArrow(sum_shard, "shard long, facts array<long>").collect()
     high, begin, low = [0] * 4, (0, 0, 0, 0), [0] * 6
     for r in facts:
@@ -352,15 +352,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     kind = dict(rows.dtypes)["doc_id"]
-    return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return rows.mapInArrow(released(run), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def perplexity(docs: DataFrame) -> DataFrame:
     """Count the documents that are not held out, score all, and give perplexities too.
 
-    Null texts count as empty: one end. Rows that repeat an id are texts of their own. The
+    Null texts count as empty: one end. Rows that repeat an id are texts of their own; a null id is
+    not held out. Texts are scored whole, equal ones alike. Further columns are ignored, whatever
+    their names. An empty table gives an empty result. The
     scores are written to the shared folder before the model is deleted.
     """
+    docs = pick(docs, "doc_id", "text")
     texts = docs.where(~held_out(docs["doc_id"])).select(docs["text"].cast("string").alias("text"))
     model = train(texts)
     try:

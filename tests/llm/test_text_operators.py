@@ -1,3 +1,5 @@
+import hashlib
+import math
 import random
 import re
 import zlib
@@ -234,17 +236,44 @@ def test_shards_follow_the_key(docs, texts, nothing):
     assert sharding.shard_documents(docs.union(docs)).count() == 2 * len(texts)
 
 
+def descend(key, tree, seed="tree"):
+    """The descent in plain Python."""
+    path, left = f"={key}|{seed}", tree
+    for level in ("region", "rack", "shard"):
+        weight = Counter()
+        for s in left:
+            weight[getattr(s, level)] += s.weight
+        draw = lambda n, w=weight: -math.log((int(hashlib.md5(f"{path}/{n}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / w[n]  # noqa: E731, B023
+        best = min(weight, key=lambda n: (draw(n), n))
+        path, left = f"{path}/{best}", [s for s in left if getattr(s, level) == best]
+    return best
+
+
 def test_tree_moves_rows_only_to_the_changed_subtree(spark):
-    keys = spark.range(6000).withColumnRenamed("id", "k")
+    keys = spark.range(4000).withColumnRenamed("id", "k")
     tree = [sharding.Shard(s // 4, s // 2, s, 1.0 + s % 3) for s in range(8)]
     heavy = [s if s.shard != 5 else sharding.Shard(s.region, s.rack, s.shard, 5.0) for s in tree]
-    moved = sharding.place(sharding.place(keys, "k", tree, "old"), "k", heavy, "new").where("old != new")
-    assert moved.count() > 0 and [r.new for r in moved.select("new").distinct().collect()] == [5]
-    share = {r.old: r["count"] for r in sharding.place(keys, "k", tree, "old").groupBy("old").count().collect()}
-    total = sum(s.weight for s in tree)
-    assert all(abs(share[s.shard] / 6000 - s.weight / total) < 0.02 for s in tree)
-    for n in range(1, 20):
-        both = sharding.place(sharding.place(keys.limit(300), "k", sharding.uniform_tree(n), "x"), "k", sharding.uniform_tree(n + 1), "y")
-        assert both.where((F.col("x") != F.col("y")) & (F.col("y") != n)).count() == 0
-        if n % 6 == 0:
-            assert both.where(F.col("y") == n).count() > 0
+    both = sharding.place(sharding.place(keys, "k", tree, "old"), "k", heavy, "new").collect()
+    assert all(r.old == descend(r.k, tree) and r.new == descend(r.k, heavy) for r in both[:1500])
+    moved = [r for r in both if r.old != r.new]
+    assert moved and all(tree[r.new].region == 1 for r in moved)
+    assert all(tree[r.new].rack == 2 for r in moved if tree[r.old].region == 1)
+    assert all(r.new == 5 for r in moved if tree[r.old].rack == 2)
+    total, share = sum(s.weight for s in tree), Counter(r.old for r in both)
+    assert all(abs(share[s.shard] / 4000 - s.weight / total) < 0.03 for s in tree)
+    # region and rack decide: other trees of the same shards place otherwise
+    flat = [sharding.Shard(s.shard, s.shard, s.shard, s.weight) for s in tree]
+    assert sum(descend(k, flat) != descend(k, tree) for k in range(500)) > 100
+    for n in (1, 7, 16):
+        small, large = sharding.uniform_tree(n), sharding.grown(sharding.uniform_tree(n))
+        places = [(descend(k, small), descend(k, large)) for k in range(3000)]
+        assert all(y in (x, n) for x, y in places) and any(y == n for _, y in places)
+
+
+def test_slots_of_a_hot_key(spark):
+    ids = spark.range(3005).select(F.when(F.col("id") < 3000, F.lit(7)).cast("long").alias("doc_id"))
+    got = sharding.shard_documents(ids.select("doc_id", F.lit("same").alias("text"), F.lit("x").alias("TEXT"))).collect()
+    slots = {}
+    for r in got:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len(got) == 3005 and all(sorted(s) == list(range(len(s))) for s in slots.values())
