@@ -62,6 +62,7 @@ class Rules:
     least: int = 20
     grid: int = 16
     broadcast_rows: int = 100_000
+    single_task: int = 1_000
 
 
 def _repeat_words() -> Column:
@@ -191,16 +192,21 @@ def _few(rows: DataFrame, limit: int) -> bool:
     return rows.limit(limit + 1).count() <= limit
 
 
-def _concentrate(slim: DataFrame, estimate: DataFrame, priors: DataFrame | None, rules: Rules, few: bool) -> DataFrame:
-    """One step: the moments of the documents nearest to the present estimate."""
+def _concentrate(slim: DataFrame, estimate: DataFrame, priors: DataFrame | None, rules: Rules, groups: int) -> DataFrame:
+    """One step: the moments of the documents nearest to the present estimate.
+
+    Moments are summed for every cell of the grid of distances; a group's cells up to the one that
+    completes the core are summed once more."""
     cell = F.floor(F.log(_distance() + 0.001) * rules.grid).cast("long")
-    scored = slim.join(_small(estimate.select(*KEY, *MEANS, *FACTOR), few), "pool").select(*KEY, *VECTOR, "weight", cell.alias("cell"))
-    cells = scored.groupBy(*KEY, "cell").agg(F.sum("weight").alias("c"))
+    present = _small(estimate.select(*KEY, *MEANS, *FACTOR), groups <= rules.broadcast_rows)
+    cells = slim.join(present, "pool").select(*KEY, *VECTOR, "weight", cell.alias("cell")).groupBy(*KEY, "cell").agg(*_moments())
     by_pool = Window.partitionBy(*KEY)
-    cells = cells.withColumn("run", F.sum("c").over(by_pool.orderBy("cell"))).withColumn("all", F.sum("c").over(by_pool))
-    edge = cells.where(F.col("run") >= F.ceil(rules.core * F.col("all"))).groupBy(*KEY).agg(F.min("cell").alias("edge"))
-    core = scored.join(_small(edge, few), KEY).where(F.col("cell") <= F.col("edge"))
-    return durable(_estimated(core.groupBy(*KEY).agg(*_moments()), priors, rules))
+    before = F.sum("n").over(by_pool.orderBy("cell")) - F.col("n")
+    cells = cells.withColumn("before", before).withColumn("all", F.sum("n").over(by_pool))
+    core = cells.where(F.col("before") < F.ceil(rules.core * F.col("all")))
+    sums = ["n"] + [f"s{i}" for i in D] + [f"q{i}{j}" for i, j in PAIRS]
+    after = _estimated(core.groupBy(*KEY).agg(*[F.sum(c).alias(c) for c in sums]), priors, rules)
+    return durable(after.coalesce(1) if groups <= rules.single_task else after)
 
 
 def _digest(estimate: DataFrame) -> tuple:
@@ -214,9 +220,9 @@ def _determinant(slim: DataFrame, priors: DataFrame | None, rules: Rules) -> Dat
     residue = F.pmod(F.col("v_length") + 3 * F.col("v_symbol") + 5 * F.col("v_line") + 7 * F.col("v_repeat"), F.lit(rules.parts))
     parts = slim.withColumn("start", (residue + 1).cast("int")).groupBy(*KEY).agg(*_moments())
     estimate = durable(_medians(slim, rules).unionByName(_estimated(parts, priors, rules)))
-    few = _few(estimate, rules.broadcast_rows)
+    groups = estimate.count()
     for _ in range(rules.trial):
-        estimate = _concentrate(slim, estimate, priors, rules, few)
+        estimate = _concentrate(slim, estimate, priors, rules, groups)
     best = estimate.groupBy("pool").agg(F.min(F.struct("root", "start")).alias("b")).select("pool", F.col("b.start").alias("start"))
     estimate = durable(estimate.join(best, KEY))
     mark = None
@@ -225,7 +231,7 @@ def _determinant(slim: DataFrame, priors: DataFrame | None, rules: Rules) -> Dat
             before, mark = mark, _digest(estimate)
             if mark == before:
                 break
-        estimate = _concentrate(slim, estimate, priors, rules, few)
+        estimate = _concentrate(slim, estimate, priors, rules, groups)
     return estimate
 
 
