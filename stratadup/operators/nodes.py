@@ -46,11 +46,17 @@ def best_container(features: DataFrame, index: DataFrame) -> DataFrame:
     return counts.groupBy("seg_id", "node").agg(best.alias("b")).select("seg_id", "node", "b.container_id", "b.matches")
 
 
+def first_segments(features: DataFrame) -> DataFrame:
+    """Rows (fea, first_seg): the segment that brought a feature first."""
+    return features.groupBy("fea").agg(F.min("seg_id").alias("first_seg"))
+
+
 def hit_features(features: DataFrame, index: DataFrame) -> DataFrame:
-    """Features that are in an index (rows of `fea`)."""
-    return features.join(index.select("fea").distinct(), "fea", "left_semi")
+    """Features that an earlier segment brought to the index (fea, first_seg)."""
+    return features.join(index, "fea").where("first_seg < seg_id").drop("first_seg")
 
 
 def unhit_features(features: DataFrame, index: DataFrame) -> DataFrame:
-    """Features that are not in an index; only these need a probe."""
-    return features.join(index.select("fea").distinct(), "fea", "left_anti")
+    """Features that no earlier segment brought to the index; only these need a probe."""
+    known = index.select(F.col("fea").alias("_fea"), "first_seg")
+    return features.join(known, (F.col("fea") == F.col("_fea")) & (F.col("first_seg") < F.col("seg_id")), "left_anti")

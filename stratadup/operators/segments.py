@@ -6,6 +6,10 @@ the least size, or at the greatest size; it may cross files but never traces.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,42 +21,56 @@ def with_positions(chunks: DataFrame) -> DataFrame:
     """Add `pos`, from 1, in (file_no, chunk_no, fp) order within each trace.
 
     Chunks are numbered inside their file; only one row per file goes through the trace's
-    ordered window.
+    ordered window. A null trace is the one with the empty name; a null file comes first.
     """
+    chunks = chunks.withColumn("trace", F.coalesce("trace", F.lit("")))
     files = chunks.groupBy("trace", "file_no").agg(F.count("*").alias("n"))
     order = Window.partitionBy("trace").orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)
-    starts = files.select("trace", "file_no", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("start"))
+    starts = files.select(F.col("trace").alias("_trace"), F.col("file_no").alias("_file"), F.coalesce(F.sum("n").over(order), F.lit(0)).alias("start"))
     inside = F.row_number().over(Window.partitionBy("trace", "file_no").orderBy("chunk_no", "fp"))
-    return chunks.withColumn("k", inside).join(starts, ["trace", "file_no"]).withColumn("pos", F.col("start") + F.col("k")).drop("start", "k")
+    joined = chunks.withColumn("k", inside).join(starts, (F.col("trace") == F.col("_trace")) & F.col("file_no").eqNullSafe(F.col("_file")))
+    return joined.withColumn("pos", F.col("start") + F.col("k")).drop("start", "k", "_trace", "_file")
+
+
+def cut_ends(marks: np.ndarray, n: int, near: int, far: int) -> np.ndarray:
+    """Last positions of the segments of a trace of `n` chunks, from its boundary positions in order."""
+    ends, start = [], 1
+    for mark in marks.tolist():
+        forced = (mark - start + 1) // far
+        if forced > 0:
+            ends.extend(range(start + far - 1, start + forced * far, far))
+            start += forced * far
+        if mark - start + 1 >= near:
+            ends.append(mark)
+            start = mark + 1
+    ends.extend(range(start + far - 1, n + 1, far))
+    if n and (not ends or ends[-1] < n):
+        ends.append(n)
+    return np.array(ends, np.int64)
 
 
 def cuts(chunks: DataFrame, cfg: RoutingConfig) -> DataFrame:
     """Rows (trace, seg, st, en): segments by position, both ends included, seg from 1.
 
-    Only boundary positions are collected, about one chunk in `least`; a fold over them places
-    the forced cuts in between.
+    Only boundary positions are collected, about one chunk in `least`; a fold over them, in time
+    proportional to their number, places the forced cuts in between.
     """
     near, far = cfg.least, cfg.most
     per_trace = chunks.groupBy("trace").agg(
         F.count("*").alias("n"),
         F.sort_array(F.collect_list(F.when(is_boundary(F.col("fp"), near), F.col("pos")))).alias("marks"),
     )
-    fold = f"""
-        aggregate(marks, named_struct('st', 1L, 'cuts', cast(array() as array<bigint>)),
-            (a, p) -> transform(array(named_struct('st', a.st, 'm', (p - a.st + 1) div {far}L, 'cuts', a.cuts)), x ->
-                transform(array(named_struct('st', x.st + x.m * {far}L, 'cuts',
-                    if(x.m > 0, concat(x.cuts, transform(sequence(1L, greatest(x.m, 1L)), k -> x.st + k * {far}L - 1L)), x.cuts))), y ->
-                    if(p - y.st + 1 >= {near}L,
-                        named_struct('st', p + 1L, 'cuts', concat(y.cuts, array(p))),
-                        named_struct('st', y.st, 'cuts', y.cuts)))[0])[0],
-            a -> transform(array(named_struct('st', a.st, 'm', (n - a.st + 1) div {far}L, 'cuts', a.cuts)), x ->
-                transform(array(if(x.m > 0, concat(x.cuts, transform(sequence(1L, greatest(x.m, 1L)), k -> x.st + k * {far}L - 1L)), x.cuts)), c ->
-                    if(x.st + x.m * {far}L <= n, concat(c, array(n)), c))[0])[0])
-    """
-    ends = per_trace.select("trace", F.expr(fold).alias("ends"))
-    out = ends.select("trace", "ends", F.posexplode("ends").alias("i", "en"))
-    start = F.when(F.col("i") == 0, F.lit(1).cast("long")).otherwise(F.element_at("ends", F.greatest(F.col("i"), F.lit(1))) + 1)
-    return out.select("trace", (F.col("i") + 1).cast("long").alias("seg"), start.alias("st"), "en")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for trace, n, marks in zip(*(batch.column(i) for i in range(3)), strict=True):
+                ends = cut_ends(marks.values.to_numpy(), n.as_py(), near, far)
+                for a in range(0, len(ends), 100_000):
+                    part = ends[a : a + 100_000]
+                    starts = np.append(ends[a - 1] if a else 0, part[:-1]) + 1
+                    yield pa.RecordBatch.from_arrays([pa.array([trace.as_py()] * len(part), pa.string()), pa.array(np.arange(a + 1, a + 1 + len(part))), pa.array(starts), pa.array(part)], names=["trace", "seg", "st", "en"])
+
+    return per_trace.select("trace", "n", "marks").mapInArrow(fold, "trace string, seg long, st long, en long")
 
 
 def numbered(segments: DataFrame) -> DataFrame:

@@ -142,9 +142,9 @@ _register(
     lambda p: nodes.similarity(p.features, p.stateless),
     _with("documents", CFG, _d) + "select f.seg_id, x.node, count(*) as hits from features f join (select node, fea, min(seg_id) as s from features join decisions using (seg_id) group by all) x on x.fea = f.fea and x.s < f.seg_id group by all",
 )
-_even = lambda p: p.features.where("seg_id % 2 = 0")  # noqa: E731  an index of half the segments
-_register("hit_features", lambda p: nodes.hit_features(p.features.where("seg_id % 2 = 1"), _even(p)).select("seg_id", "fea_pos", "fea"), _with() + "select seg_id, fea_pos, fea from features where seg_id % 2 = 1 and fea in (select fea from features where seg_id % 2 = 0)")
-_register("unhit_features", lambda p: nodes.unhit_features(p.features.where("seg_id % 2 = 1"), _even(p)).select("seg_id", "fea_pos", "fea"), _with() + "select seg_id, fea_pos, fea from features where seg_id % 2 = 1 and fea not in (select fea from features where seg_id % 2 = 0)")
+_first = ", firsts as (select fea, min(seg_id) as s from features group by fea) "
+_register("hit_features", lambda p: nodes.hit_features(p.features, nodes.first_segments(p.features)).select("seg_id", "fea_pos", "fea"), _with().rstrip() + _first + "select seg_id, fea_pos, fea from features join firsts using (fea) where s < seg_id")
+_register("unhit_features", lambda p: nodes.unhit_features(p.features, nodes.first_segments(p.features)).select("seg_id", "fea_pos", "fea"), _with().rstrip() + _first + "select seg_id, fea_pos, fea from features join firsts using (fea) where s >= seg_id")
 _register(
     "sigma_candidates",
     lambda p: fold.candidates(p.features, CFG),

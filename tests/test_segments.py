@@ -85,3 +85,28 @@ def test_unknown_settings_are_refused():
         RoutingConfig(policy="magic")
     with pytest.raises(ValueError):
         RoutingConfig(segment=48)
+
+
+def test_cut_ends_equal_the_model():
+    rng = np.random.RandomState(4)
+    for expected in (4, 16):
+        for n in (0, 1, 5, 64, 700):
+            for share in (0.0, 0.02, 0.3, 1.0):
+                flags = rng.uniform(size=n) < share
+                ends, begin = [], 0
+                for i in range(n):
+                    size = i - begin + 1
+                    if size == expected * 2 or (size >= expected // 2 and flags[i]):
+                        ends.append(i + 1)
+                        begin = i + 1
+                if begin < n:
+                    ends.append(n)
+                assert segments.cut_ends(np.flatnonzero(flags) + 1, n, expected // 2, expected * 2).tolist() == ends
+
+
+def test_null_traces_and_files_lose_no_chunks(spark):
+    rows = [(t, f, c, model.stream(60)[i]) for i, (t, f, c) in enumerate((t, f, c) for t in (None, "a") for f in (None, 1) for c in range(4))]
+    chunks = spark.createDataFrame(rows, "trace string, file_no long, chunk_no long, fp string")
+    placed = segments.with_positions(chunks).collect()
+    assert sorted((r.trace, r.pos) for r in placed) == [(t, p) for t in ("", "a") for p in range(1, 9)]
+    assert all(r.pos <= 4 for r in placed if r.file_no is None)
