@@ -63,6 +63,7 @@ class Rules:
     grid: int = 16
     broadcast_rows: int = 100_000
     single_task: int = 1_000
+    rows_a_task: int = 50_000
 
 
 def _repeat_words() -> Column:
@@ -243,6 +244,7 @@ def estimate_pools(measured: DataFrame, rules: Rules) -> DataFrame:
     enough = slim.groupBy("language").agg(F.sum("weight").alias("n")).where(F.col("n") >= rules.least).select("language")
     enough = durable(enough)
     slim = durable(slim.join(_small(enough, _few(enough, rules.broadcast_rows)), "language"))
+    slim = slim.coalesce(max(1, slim.count() // rules.rows_a_task))
     of_language = _determinant(slim.drop("pool").withColumnRenamed("language", "pool"), None, rules)
     names = MEANS + COVARIANCES
     priors = slim.select("pool", "language").distinct().join(of_language.select(F.col("pool").alias("language"), *[F.col(c).alias(f"p_{c}") for c in names]), "language").drop("language")

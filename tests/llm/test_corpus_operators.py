@@ -104,9 +104,10 @@ def test_links_of_odd_tables(spark, docs, nothing, texts):
     assert sorted(r.n_shingles for r in nameless) == sorted(n for n, _ in want.values()) and not any(r.component_id for r in nameless)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [0, 1000])
+def test_components(spark, small):
     edges = [(i, i + 1) for i in range(0, 30)] + [(50, 40), (40, 45), (60, 60)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long"), small=small).collect()}
     assert got == {**dict.fromkeys(range(31), 0), 40: 40, 45: 40, 50: 40}
 
 
