@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from model import features as model_features
 from model import segments as model_segments
@@ -105,7 +106,7 @@ def test_cut_ends_equal_the_model():
 
 
 def test_null_traces_and_files_lose_no_chunks(spark):
-    rows = [(t, f, c, model.stream(60)[i]) for i, (t, f, c) in enumerate((t, f, c) for t in (None, "a") for f in (None, 1) for c in range(4))]
+    rows = [(t, f, c, stream(60)[i]) for i, (t, f, c) in enumerate((t, f, c) for t in (None, "a") for f in (None, 1) for c in range(4))]
     chunks = spark.createDataFrame(rows, "trace string, file_no long, chunk_no long, fp string")
     placed = segments.with_positions(chunks).collect()
     assert sorted((r.trace, r.pos) for r in placed) == [(t, p) for t in ("", "a") for p in range(1, 9)]
