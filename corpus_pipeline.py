@@ -4,9 +4,8 @@ quality rules -> line classifier -> near duplicates -> repeated passages -> pack
 a function of (spark, docs, sf_dir); all but the last return the columns of `documents`.
 
 A row is a document: every decision is taken row by row, also where rows share an id or have
-none. Null and empty texts fail the rules. Of near duplicates the row with the least id stays;
-rows whose id is repeated or null come after those whose id is their own. An empty table stays
-empty. Columns that `documents` does not have are dropped, whatever their names. Stage outputs
+none. Null and empty texts fail the rules. Of near duplicates the row with the least id stays, of
+equal ids one; null ids come last. An empty table stays empty. Columns that `documents` does not have are dropped, whatever their names. Stage outputs
 but the last are deleted when the last is written.
 """
 
@@ -43,12 +42,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     if not again.limit(1).count():
         ids = ngram_join.link(docs).where("doc_id = component_id").select("doc_id")
         return docs.join(ids, "doc_id", "left_semi").select(*COLUMNS)
-    # rows that share an id get numbers of their own, above all ids
-    top = docs.agg(F.max("doc_id")).first()[0] or 0
-    marked = docs.join(durable(again), docs["doc_id"].eqNullSafe(F.col("again")), "left_semi")
-    marked = marked.withColumn("row", F.monotonically_increasing_id() + F.lit(top + 1))
-    others = docs.join(durable(again), docs["doc_id"].eqNullSafe(F.col("again")), "left_anti").withColumn("row", F.col("doc_id"))
-    rows = durable(marked.unionByName(others))
+    # rows are numbered in the order of their ids, null ones last
+    numbered = docs.withColumn("read", F.monotonically_increasing_id()).orderBy(F.asc_nulls_last("doc_id"), F.xxhash64("text"), "read")
+    rows = durable(numbered.drop("read").withColumn("row", F.monotonically_increasing_id()))
     ids = ngram_join.link(rows.select(F.col("row").alias("doc_id"), "text")).where("doc_id = component_id").select(F.col("doc_id").alias("row"))
     return rows.join(ids, "row", "left_semi").select(*COLUMNS)
 
