@@ -43,6 +43,21 @@ def test_stages_on_the_smallest_tables(spark):
     check_packing(list(pieces.itertuples(index=False)), [before[d].text for d in ids], 1024)
 
 
+def test_rows_that_share_an_id_are_judged_apart(spark):
+    words = lambda k: " ".join(f"x{(i * (k + 3)) % 997}y{k}" for i in range(80))
+    rows = [(5, words(1)), (5, "too short"), (5, words(2)), (7, words(1)), (None, words(2)), (None, words(3)), (2**63 - 1, words(4))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t), "other") for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long, TEXT2 string")
+    docs = docs.toDF(*corpus_pipeline.COLUMNS, "TEXT")
+    kept = corpus_pipeline.quality_rules(spark, docs, "").cache()
+    assert sorted(r.text for r in kept.collect()) == sorted(t for _, t in rows if t != "too short")
+    left = {(r.doc_id, r.text) for r in corpus_pipeline.near_duplicates(spark, kept, "").collect()}
+    assert left == {(5, words(1)), (5, words(2)), (None, words(3)), (2**63 - 1, words(4))}
+    passage, own = " ".join(f"p{i}" for i in range(60)), " ".join(f"q{i}" for i in range(100))
+    odd = spark.createDataFrame([(1, passage), (5, passage + " end"), (5, own), (-(2**63), "a b")], "doc_id long, text string").selectExpr("doc_id", "text", "'en' as lang", "'s' as source", "1L as n_chars")
+    out = {(r.doc_id, r.text) for r in corpus_pipeline.repeated_passages(spark, odd, "").collect()}
+    assert out == {(1, passage), (5, "end"), (5, own), (-(2**63), "a b")}
+
+
 def test_stages_on_odd_tables(spark, docs, nothing):
     sf = "/root/testdata/sf0.001"
     odd = docs.union(docs).union(docs.withColumn("doc_id", F.lit(None).cast("long")))
