@@ -115,38 +115,53 @@ def test_model_equals_brute_force(docs, texts, nothing):
     rows = {r.doc_id: r for r in kneser_ney.perplexity(docs).collect()}
     tokens = {d: [*SPACES.findall((t or "").translate(LOWER)), None] for d, t in enumerate(texts)}
     held = {d: zlib.crc32(str(d).encode()) % 5 == 1 for d in tokens}
-    count, pairs = Counter(), Counter()
+    led = lambda t: zip([0, 0, *t[:-2]] if len(t) > 1 else [0], [0, *t[:-1]], t, strict=True)
+    count, grams = Counter(), Counter()
     for d, t in tokens.items():
         if not held[d]:
             count.update(t)
-            pairs.update(zip([0, *t[:-1]], t, strict=True))
+            grams.update(led(t))
     n, v = sum(count.values()), len(count)
-    cont, total, classes = Counter(w for _, w in pairs), Counter(), defaultdict(lambda: [0, 0, 0])
-    for (u, _), c in pairs.items():
-        total[u] += c
-        classes[u][min(c, 3) - 1] += 1
+    pairs = Counter(g[1:] for g in grams)
+    cont = Counter(w for _, w in pairs)
+    facts = defaultdict(lambda: [0, 0, 0, 0])
+    for items in (grams, pairs, {(w,): c for w, c in cont.items()}):
+        for g, c in items.items():
+            facts[g[:-1]][0] += c
+            facts[g[:-1]][min(c, 3)] += 1
     of = lambda items: kneser_ney._discounts([sum(c == k for c in items) for k in (1, 2, 3, 4)])
-    high, low = of(pairs.values()), of(cont.values())
-    less = lambda c, d: max(c - (0, *d)[min(c, 3)], 0)
-    low_classes = [sum(c == 1 for c in cont.values()), sum(c == 2 for c in cont.values()), sum(c > 2 for c in cont.values())]
-    gamma = sum(a * b for a, b in zip(low, low_classes, strict=True)) / sum(cont.values())
-    one = lambda w: less(cont[w], low) / sum(cont.values()) + gamma / (v + 1)
-
-    def two(u, w):
-        if not total[u]:
-            return one(w)
-        return less(pairs[u, w], high) / total[u] + sum(a * b for a, b in zip(high, classes[u], strict=True)) / total[u] * one(w)
-
-    for context in (0, "w1", "w2"):
-        assert abs(sum(two(context, w) for w in count) + two(context, "never seen") - 1) < 1e-9
+    discounts = {3: of(grams.values()), 2: of(pairs.values()), 1: of(cont.values())}
+
+    def chance(g):
+        """The probability of an n-gram's last word after the others."""
+        if not g:
+            return 1 / (v + 1)
+        c, (total, *classes), d = {3: grams, 2: pairs, 1: {(w,): c for w, c in cont.items()}}[len(g)].get(g, 0), facts.get(g[:-1], (0, 0, 0, 0)), discounts[len(g)]
+        lower = chance(g[1:])
+        return lower if not total else (max(c - (0, *d)[min(c, 3)], 0) + sum(x * y for x, y in zip(d, classes, strict=True)) * lower) / total
+
+    for context in ((0, 0), (0, "w1"), ("w1", "w2"), ("w2", "never seen")):
+        assert abs(sum(chance((*context, w)) for w in count) + chance((*context, "never seen")) - 1) < 1e-9
+    assert any(c > 1 for c in grams.values())
     for d, t in tokens.items():
         r = rows[d]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[d], len(t), sum(count[w] > 0 for w in t), n)
         assert math.isclose(r.base_score, sum(math.log10((count[w] + 0.5) / (n + 0.5 * (v + 1))) for w in t), rel_tol=1e-9)
-        assert math.isclose(r.score, sum(math.log10(two(u, w)) for u, w in zip([0, *t[:-1]], t, strict=True)), rel_tol=1e-9)
+        assert math.isclose(r.score, sum(math.log10(chance(g)) for g in led(t)), rel_tol=1e-9)
     assert kneser_ney.perplexity(nothing).count() == 0
 
 
+def test_sorted_hash_arrays(tmp_path):
+    for n in (0, 1, 7, 5000):
+        hashes = np.sort(np.random.RandomState(n).randint(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+        kneser_ney._save_hashes(str(tmp_path), f"t{n}", hashes)
+        kneser_ney._save_counts(str(tmp_path), f"c{n}", np.arange(n))
+        assert kneser_ney._places(str(tmp_path), f"t{n}", hashes[::-1]).tolist() == list(range(n))[::-1]
+        assert kneser_ney._counts_at(str(tmp_path), f"c{n}", np.arange(n)).tolist() == list(range(n))
+        assert (kneser_ney._places(str(tmp_path), f"t{n}", np.arange(1, 100, dtype=np.uint64) << np.uint64(57)) == -1).all()
+        assert kneser_ney._unpacked(kneser_ney._packed(hashes, True), True).tolist() == hashes.tolist()
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.RandomState(0)
     model = line_crf.Model(rng.normal(size=4), rng.normal(size=(2, 2)), np.zeros(3), np.ones(3))
