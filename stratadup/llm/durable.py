@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,6 +11,8 @@ from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stratadup.llm.textkit import give_back
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir; a temporary one only where none is set."""
@@ -75,6 +78,14 @@ def remove(spark: SparkSession, folder: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def relieve(spark: SparkSession) -> None:
+    """Collect the driver's garbage: plans, generated classes and handles of finished jobs, which
+    also lets Spark clean up what they referred to. The freed memory goes back to the system."""
+    gc.collect()
+    give_back()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def mounted_dir(spark: SparkSession) -> str:
     """The shared folder as a path that workers can open and map into memory."""
     url = urlparse(shared_dir(spark))
