@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratadup.llm import line_crf, ngram_join, packing, robust_rules, substring_dedup
-from stratadup.llm.durable import durable, remove, shared_dir
+from stratadup.llm.durable import durable, relieve, remove, shared_dir
 from stratadup.llm.textkit import pick
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -26,17 +26,20 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
+    relieve(spark)
     return robust_rules.accepted(docs, tuple(COLUMNS))
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
+    relieve(spark)
     model = line_crf.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return line_crf.score(docs, model, keep=tuple(COLUMNS)).where("predicted = 1").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each linked group stays."""
+    relieve(spark)
     docs = pick(docs, *COLUMNS)
     again = docs.groupBy("doc_id").count().where("count > 1 or doc_id is null").select(F.col("doc_id").alias("again"))
     if not again.limit(1).count():
@@ -51,6 +54,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of repeated passages go; texts without any stay as they are, emptied ones leave."""
+    relieve(spark)
     cut = substring_dedup.remove_repeats(docs, keep=tuple(COLUMNS))
     n_chars = F.when(F.col("kept").isNull(), F.col("n_chars")).otherwise(F.length("kept").cast("long")).alias("n_chars")
     left = cut.where(F.col("kept").isNull() | (F.col("kept") != ""))
@@ -59,6 +63,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed pieces of all remaining documents."""
+    relieve(spark)
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
