@@ -321,7 +321,7 @@ def _link_in(scratch: Scratch, rows: DataFrame, size: int, percent: int, fragmen
     labels = durable(lists.select("doc_id").distinct().select("doc_id", F.col("doc_id").alias("label")))
     step, before = 0, None
     while labels.limit(1).count():
-        relieve(spark)
+        relieve(lists.sparkSession)
         current, last = lists.join(labels, "doc_id"), rounds == 0
         if step:
             sizes = current.groupBy("h", "label").agg(F.count("*").alias("c")).groupBy("h").agg(F.sum("c").alias("m"), F.sum(F.col("c") * F.col("c")).alias("q")).where("m * m > q")
