@@ -12,9 +12,14 @@ from pyspark.sql import functions as F
 from stratadup.config import RoutingConfig
 
 
+def placed(rows: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Rows of segments with their node; rows that have one keep it."""
+    return rows if "node" in rows.columns else rows.join(decisions.select("seg_id", "node"), "seg_id")
+
+
 def dedup(members: DataFrame, decisions: DataFrame) -> DataFrame:
     """Chunks with their node and whether the node already had the fingerprint."""
-    at = members.join(decisions.select("seg_id", "node"), "seg_id")
+    at = placed(members, decisions)
     rank = F.row_number().over(Window.partitionBy("node", "fp").orderBy("seg_id", "i"))
     return at.withColumn("dup", rank > 1)
 

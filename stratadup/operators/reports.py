@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratadup.config import RoutingConfig
+from stratadup.operators import nodes as nodes_of
 
 
 def polled_rows(decisions: DataFrame, cfg: RoutingConfig) -> DataFrame:
@@ -23,7 +24,7 @@ def node_report(members: DataFrame, decisions: DataFrame, features: DataFrame, c
     per duplicate.
     """
     spark = members.sparkSession
-    placed = members.join(decisions.select("seg_id", "node"), "seg_id")
+    placed = nodes_of.placed(members, decisions)
     # distinct fingerprints first, then sums: the count per node needs no wide state
     per_fp = placed.groupBy("node", "fp").agg(F.count("*").alias("c"))
     blocks = per_fp.groupBy("node").agg(F.sum("c").alias("logic_block"), F.count("*").alias("phy_block"))
