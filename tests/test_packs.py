@@ -16,7 +16,7 @@ from stratadup.operators.segments import cut_ends
 
 SF = "/root/testdata/sf0.001"
 #: Queries that computed a stream's chunks again for every use of them.
-QUERIES = ["gp_part_stats", "report_guidepost", "route_guidepost", "route_guidepost_sigma", "prediction_matrix"]
+QUERIES = ["gp_part_stats", "report_guidepost", "route_guidepost", "route_guidepost_sigma", "prediction_matrix", "gp_route_volumes"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
