@@ -23,8 +23,8 @@ from stratadup.functions.fingerprints import DIGITS, MULTIPLIERS, OFFSETS, SPAN
 
 #: What stands for a null fingerprint in a row, and as a number: after all others.
 NONE, NONE_KEY = "~" * DIGITS, SPAN
-#: Chunks of a run at most.
-LONGEST = 2048
+#: Chunks of a run at most; a batch of 10,000 runs then has 30 MB.
+LONGEST = 256
 _NIBBLE = np.zeros(256, np.uint8)
 _NIBBLE[list(b"0123456789abcdef")] = np.arange(16)
 _DIGIT = np.frombuffer(b"0123456789abcdef", np.uint8)
