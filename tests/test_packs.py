@@ -16,7 +16,7 @@ from stratadup.operators.segments import cut_ends
 
 SF = "/root/testdata/sf0.001"
 #: Queries that computed a stream's chunks again for every use of them.
-QUERIES = ["gp_part_stats", "report_guidepost", "route_guidepost", "route_guidepost_sigma", "prediction_matrix", "gp_route_volumes", "feat_finesse", "best_container", "route_boafft", "node_dedup", "node_storage", "lineitem_feat_finesse", "hit_features", "feat_cdmink", "feat_ntrans", "segment_chunks", "similarity_probe", "route_sigma", "route_stateless_skew", "report_boafft", "cluster_report", "containers", "feat_mink"]
+QUERIES = ["gp_part_stats", "report_guidepost", "route_guidepost", "route_guidepost_sigma", "prediction_matrix", "gp_route_volumes", "feat_finesse", "best_container", "route_boafft", "node_dedup", "node_storage", "lineitem_feat_finesse", "hit_features", "feat_cdmink", "feat_ntrans", "segment_chunks", "similarity_probe", "route_sigma", "route_stateless_skew", "report_boafft", "cluster_report", "containers", "feat_mink", "feature_index"]
 
 
 @pytest.mark.parametrize("name", QUERIES)
