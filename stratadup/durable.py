@@ -23,25 +23,36 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+READ_ROWS = "spark.sql.parquet.columnarReaderBatchSize"
 
 
 @contextmanager
-def cleaned(spark: SparkSession) -> Iterator[None]:
-    """Executions begun inside delete their shuffle files when they end: what they wrote is what
-    later steps read, and a lost executor's part of that lies in the shared folder."""
-    old = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+def _set(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    old = spark.conf.get(key) if spark._jsparkSession.conf().contains(key) else None
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         if old is None:
-            spark.conf.unset(CLEANUP)
+            spark.conf.unset(key)
         else:
-            spark.conf.set(CLEANUP, old)
+            spark.conf.set(key, old)
+
+
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """Executions begun inside delete their shuffle files when they end: what they wrote is what
+    later steps read, and a lost executor's part of that lies in the shared folder."""
+    with _set(spark, CLEANUP, "true"):
+        yield
+
 
+def durable(df: DataFrame, read_rows: int | None = None) -> DataFrame:
+    """The same rows, written once to the shared folder and read from there.
 
-def durable(df: DataFrame) -> DataFrame:
-    """The same rows, written once to the shared folder and read from there."""
-    shared_dir(df.sparkSession)
-    with cleaned(df.sparkSession):
+    `read_rows`: so many rows of a Parquet file are unpacked at a time; with long texts Spark's
+    4,096 take tens of MB a task, in pieces that a small heap has no room for."""
+    spark = df.sparkSession
+    shared_dir(spark)
+    with cleaned(spark), _set(spark, READ_ROWS, str(read_rows or spark.conf.get(READ_ROWS))):
         return df.select("*").checkpoint()

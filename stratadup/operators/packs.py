@@ -25,6 +25,8 @@ from stratadup.functions.fingerprints import DIGITS, MULTIPLIERS, OFFSETS, SPAN
 NONE, NONE_KEY = "~" * DIGITS, SPAN
 #: Chunks of a run at most; a batch of 10,000 runs then has 30 MB.
 LONGEST = 256
+#: Rows of a table that are unpacked at a time.
+READ_ROWS = 256
 _NIBBLE = np.zeros(256, np.uint8)
 _NIBBLE[list(b"0123456789abcdef")] = np.arange(16)
 _DIGIT = np.frombuffer(b"0123456789abcdef", np.uint8)
@@ -148,7 +150,7 @@ def cuts(found: DataFrame, cfg: RoutingConfig) -> DataFrame:
 
 def packed(chunks: DataFrame, cfg: RoutingConfig) -> DataFrame:
     """Rows (seg_id, seg_size, fps) of a stream (trace, file_no, chunk_no, fp)."""
-    found = durable(runs(chunks, cfg))
+    found = durable(runs(chunks, cfg), READ_ROWS)
     cut = durable(cuts(found, cfg))
     counts = cut.groupBy("trace").agg(F.max("last").alias("n"))
     before = counts.select("trace", (F.sum("n").over(Window.orderBy("trace")) - F.col("n")).alias("before"))  # a row per trace

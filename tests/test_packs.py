@@ -13,6 +13,7 @@ from model import stream
 from stratadup.config import RoutingConfig
 from stratadup.operators import fold, packs
 from stratadup.operators.segments import cut_ends
+from stratadup.sources import tables
 
 SF = "/root/testdata/sf0.001"
 #: Queries that computed a stream's chunks again for every use of them.
@@ -62,6 +63,16 @@ def test_packs_equal_the_model(spark, seed):
         assert [got[k] for k in sorted(got)] == [model_features(x, method, 4, expected) for x in want], method
 
 
+def test_tables_of_long_texts_are_unpacked_in_small_batches(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    key, seen, real = "spark.sql.parquet.columnarReaderBatchSize", [], DataFrame.checkpoint
+    before = spark.conf.get(key)
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda df, *a: seen.append(int(spark.conf.get(key))) or real(df, *a))
+    packs.packed(tables.documents(spark, SF), RoutingConfig())
+    assert seen[0] <= 256 and spark.conf.get(key) == before
+
+
 def test_nulls_are_kept(spark):
     rows = [(None, 1, i, None if i % 3 == 0 else fp) for i, fp in enumerate(stream(40))]
     chunks = spark.createDataFrame(rows, "trace string, file_no long, chunk_no long, fp string")
