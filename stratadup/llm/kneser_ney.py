@@ -90,7 +90,7 @@ def _summed(keys: np.ndarray, values: np.ndarray | None = None) -> tuple[np.ndar
     """Distinct keys in order, with the sums of their values (or their number)."""
     if values is None:
         return np.unique(keys, return_counts=True)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)  # sums of whole numbers are the same in any order
     keys, values = keys[order], values[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
     return keys[first], np.add.reduceat(values, first) if len(first) else np.zeros(0, np.int64)
@@ -290,8 +290,8 @@ def _gathered(batches: Iterator[pa.RecordBatch], make) -> Iterator[tuple[np.ndar
 
 def _trigrams(before: np.ndarray, words: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Distinct contexts, and of the distinct trigrams in order the context's place, last word and count."""
-    contexts = np.unique(before)
-    keys, n = _summed(np.searchsorted(contexts, before).astype(np.uint64) << WORD | words, counts)
+    contexts, place = np.unique(before, return_inverse=True)  # a search for each would be most of the work
+    keys, n = _summed(place.astype(np.uint64) << WORD | words, counts)
     return contexts, (keys >> WORD).astype(np.int64), keys & LAST, n
 
 

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -151,6 +152,29 @@ def test_model_equals_brute_force(docs, texts, nothing):
     assert kneser_ney.perplexity(nothing).count() == 0
 
 
+def test_trigrams_are_counted_without_a_search_for_each():
+    rng = np.random.RandomState(3)
+    few = rng.randint(0, 9, (2, 500)).astype(np.uint64)
+    for counts in (None, rng.randint(1, 5, 500)):
+        contexts, at, words, n = kneser_ney._trigrams(*few, counts)
+        want = Counter()
+        for b, w, c in zip(*few.tolist(), [1] * 500 if counts is None else counts.tolist(), strict=True):
+            want[b, w] += c
+        assert list(zip(contexts[at].tolist(), words.tolist(), n.tolist(), strict=True)) == sorted((b, w, c) for (b, w), c in want.items())
+    before, words = rng.randint(0, 1 << 62, 3_000_000).astype(np.uint64), np.zeros(3_000_000, np.uint64)
+    contexts = np.unique(before)
+
+    def least(run):
+        took = []
+        for _ in range(3):
+            began = time.thread_time()
+            run()
+            took.append(time.thread_time() - began)
+        return min(took)
+
+    assert least(lambda: kneser_ney._trigrams(before, words)) < least(lambda: np.searchsorted(contexts, before))
+
+
 def test_sorted_hash_arrays(tmp_path):
     for n in (0, 1, 7, 5000):
         hashes = np.sort(np.random.RandomState(n).randint(0, 2**63, n).astype(np.uint64) * np.uint64(2))
