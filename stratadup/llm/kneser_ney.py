@@ -290,8 +290,18 @@ def _gathered(batches: Iterator[pa.RecordBatch], make) -> Iterator[tuple[np.ndar
 
 def _trigrams(before: np.ndarray, words: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """Distinct contexts, and of the distinct trigrams in order the context's place, last word and count."""
-    contexts, place = np.unique(before, return_inverse=True)  # a search for each would be most of the work
-    keys, n = _summed(place.astype(np.uint64) << WORD | words, counts)
+    order = np.argsort(before)  # a search for each would be most of the work
+    before = before[order]
+    fresh = np.ones(len(before), bool)
+    fresh[1:] = before[1:] != before[:-1]
+    contexts, keys = before[fresh], np.cumsum(fresh, dtype=np.uint64)
+    del before, fresh
+    keys -= np.uint64(1)
+    keys <<= WORD
+    keys |= words[order]
+    counts = None if counts is None else counts[order]
+    del order
+    keys, n = _summed(keys, counts)
     return contexts, (keys >> WORD).astype(np.int64), keys & LAST, n
 
 
