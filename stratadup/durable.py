@@ -51,7 +51,7 @@ def durable(df: DataFrame, read_rows: int | None = None) -> DataFrame:
     """The same rows, written once to the shared folder and read from there.
 
     `read_rows`: so many rows of a Parquet file are unpacked at a time; with long texts Spark's
-    4,096 take tens of MB a task, in pieces that a small heap has no room for."""
+    4,096 are arrays of 10 MB and more in every task, for which a small heap may have no room."""
     spark = df.sparkSession
     shared_dir(spark)
     with cleaned(spark), _set(spark, READ_ROWS, str(read_rows or spark.conf.get(READ_ROWS))):
