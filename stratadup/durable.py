@@ -24,6 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 READ_ROWS = "spark.sql.parquet.columnarReaderBatchSize"
+PART_BYTES = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
 
 
 @contextmanager
@@ -47,12 +48,17 @@ def cleaned(spark: SparkSession) -> Iterator[None]:
         yield
 
 
-def durable(df: DataFrame, read_rows: int | None = None) -> DataFrame:
+def durable(df: DataFrame, read_rows: int | None = None, part_bytes: int | None = None) -> DataFrame:
     """The same rows, written once to the shared folder and read from there.
 
     `read_rows`: so many rows of a Parquet file are unpacked at a time; with long texts Spark's
-    4,096 are arrays of 10 MB and more in every task, for which a small heap may have no room."""
+    4,096 are arrays of 10 MB and more in every task, for which a small heap may have no room.
+    `part_bytes`: shuffled partitions are put together up to so many bytes, where the session has
+    not a smaller size; a task that sorts more than its part of the heap holds buffers of MBs for
+    every spill, which Spark does not count."""
     spark = df.sparkSession
     shared_dir(spark)
-    with cleaned(spark), _set(spark, READ_ROWS, str(read_rows or spark.conf.get(READ_ROWS))):
+    named = spark.conf.get(PART_BYTES)
+    least = min(part_bytes or 1 << 62, spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(named))
+    with cleaned(spark), _set(spark, READ_ROWS, str(read_rows or spark.conf.get(READ_ROWS))), _set(spark, PART_BYTES, str(least)):
         return df.select("*").checkpoint()

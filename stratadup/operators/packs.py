@@ -27,6 +27,8 @@ NONE, NONE_KEY = "~" * DIGITS, SPAN
 LONGEST = 256
 #: Rows of a table that are unpacked at a time.
 READ_ROWS = 256
+#: Shuffled bytes that are put together in a partition, compressed; sorted, they take about five times as much.
+PART_BYTES = 4 << 20
 _NIBBLE = np.zeros(256, np.uint8)
 _NIBBLE[list(b"0123456789abcdef")] = np.arange(16)
 _DIGIT = np.frombuffer(b"0123456789abcdef", np.uint8)
@@ -150,8 +152,8 @@ def cuts(found: DataFrame, cfg: RoutingConfig) -> DataFrame:
 
 def packed(chunks: DataFrame, cfg: RoutingConfig) -> DataFrame:
     """Rows (seg_id, seg_size, fps) of a stream (trace, file_no, chunk_no, fp)."""
-    found = durable(runs(chunks, cfg), READ_ROWS)
-    cut = durable(cuts(found, cfg))
+    found = durable(runs(chunks, cfg), READ_ROWS, PART_BYTES)
+    cut = durable(cuts(found, cfg), part_bytes=PART_BYTES)
     counts = cut.groupBy("trace").agg(F.max("last").alias("n"))
     before = counts.select("trace", (F.sum("n").over(Window.orderBy("trace")) - F.col("n")).alias("before"))  # a row per trace
     placed = cut.join(before, "trace").select("part", "run", (F.col("before") + F.col("seg")).alias("seg"), "held", "ends")
@@ -167,11 +169,12 @@ def packed(chunks: DataFrame, cfg: RoutingConfig) -> DataFrame:
                 skipped[0] = held
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(seg, seg + len(at) - 1)), pa.array(skipped), text], names=["seg_id", "skipped", "fps"])
 
-    pieces = found.join(placed, ["part", "run"]).select("fps", "n", "seg", "held", "ends").mapInArrow(split, "seg_id long, skipped int, fps string")
+    # both sides grow with the input, so neither is sent to the driver
+    pieces = found.join(placed.hint("merge"), ["part", "run"]).select("fps", "n", "seg", "held", "ends").mapInArrow(split, "seg_id long, skipped int, fps string")
     whole = pieces.groupBy("seg_id").agg(F.sort_array(F.collect_list(F.struct("skipped", "fps"))).alias("l"))
     text = F.array_join(F.transform("l", lambda x: x["fps"]), "")
     rows = whole.select("seg_id", text.alias("fps"))
-    return durable(rows.select("seg_id", F.expr(f"octet_length(fps) div {DIGITS}").alias("seg_size"), "fps"))
+    return durable(rows.select("seg_id", F.expr(f"octet_length(fps) div {DIGITS}").alias("seg_size"), "fps"), part_bytes=PART_BYTES)
 
 
 def members(packs: DataFrame) -> DataFrame:
@@ -182,10 +185,33 @@ def members(packs: DataFrame) -> DataFrame:
     return each.select("seg_id", *others, "i", "seg_size", F.nullif(fp, F.lit(NONE)).alias("fp"))
 
 
+def counted(packs: DataFrame) -> DataFrame:
+    """Rows (node, fp, n) of placed segments: how often a node gets a fingerprint, as a number, from
+    neighbouring segments; the rows of one fingerprint are still to be summed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a in range(0, batch.num_rows, 1000):
+                nodes, sizes, fps = batch.slice(a, 1000).columns
+                keys, at = keys_of(fps), np.repeat(nodes.to_numpy(zero_copy_only=False), sizes.to_numpy())
+                order = np.lexsort((keys, at))
+                keys, at = keys[order], at[order]
+                first = np.flatnonzero(np.concatenate([[True], (keys[1:] != keys[:-1]) | (at[1:] != at[:-1])])[: len(keys)])
+                times = np.diff(np.append(first, len(keys)))
+                yield pa.RecordBatch.from_arrays([pa.array(at[first], pa.int32()), pa.array(keys[first].astype(np.int64)), pa.array(times, pa.int64())], names=["node", "fp", "n"])
+
+    return packs.select("node", "seg_size", "fps").mapInArrow(run, "node int, fp long, n long")
+
+
+def on_nodes(packs: DataFrame, cfg: RoutingConfig) -> DataFrame:
+    """Segments with the node of stateless routing, which follows from their first chunk."""
+    byte = F.conv(F.nullif(F.substring("fps", 1, 2), F.lit(NONE[:2])), 16, 10).cast("long")
+    return packs.withColumn("node", F.pmod(byte, F.lit(cfg.nodes)).cast("int"))
+
+
 def stateless(packs: DataFrame, cfg: RoutingConfig) -> DataFrame:
     """Rows (seg_id, node) of stateless routing."""
-    byte = F.conv(F.nullif(F.substring("fps", 1, 2), F.lit(NONE[:2])), 16, 10).cast("long")
-    return packs.select("seg_id", F.pmod(byte, F.lit(cfg.nodes)).cast("int").alias("node"))
+    return on_nodes(packs, cfg).select("seg_id", "node")
 
 
 def _leading(at: np.ndarray, count: int) -> np.ndarray:
@@ -240,13 +266,15 @@ def chosen(keys: np.ndarray, sizes: np.ndarray, cfg: RoutingConfig) -> tuple[np.
 
 
 def features(packs: DataFrame, cfg: RoutingConfig) -> DataFrame:
-    """Rows (seg_id, fea_pos, fea)."""
+    """Rows (seg_id, fea_pos, fea); a node of the segments stays."""
+    others = [c for c in packs.columns if c == "node"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
-                ids, sizes, fps = batch.slice(a, 1000).columns
+                sizes, fps, *kept = batch.slice(a, 1000).columns
                 seg, place, keys = chosen(keys_of(fps), sizes.to_numpy(), cfg)
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(seg)), pa.array(place, pa.int64()), digits_of(keys)], names=["seg_id", "fea_pos", "fea"])
+                at = pa.array(seg)
+                yield pa.RecordBatch.from_arrays([*(c.take(at) for c in kept), pa.array(place, pa.int64()), digits_of(keys)], names=["seg_id", *others, "fea_pos", "fea"])
 
-    return packs.select("seg_id", "seg_size", "fps").mapInArrow(run, "seg_id long, fea_pos long, fea string")
+    return packs.select("seg_size", "fps", "seg_id", *others).mapInArrow(run, ", ".join(["seg_id long", *(f"{c} int" for c in others), "fea_pos long, fea string"]))

@@ -11,6 +11,7 @@ from model import segments as model_segments
 from model import stream
 
 from stratadup.config import RoutingConfig
+from stratadup.durable import durable
 from stratadup.operators import fold, packs
 from stratadup.operators.segments import cut_ends
 from stratadup.sources import tables
@@ -19,6 +20,9 @@ SF = "/root/testdata/sf0.001"
 #: Queries that computed a stream's chunks again for every use of them.
 QUERIES = ["gp_part_stats", "report_guidepost", "route_guidepost", "route_guidepost_sigma", "prediction_matrix", "gp_route_volumes", "feat_finesse", "best_container", "route_boafft", "node_dedup", "node_storage", "lineitem_feat_finesse", "hit_features", "feat_cdmink", "feat_ntrans", "segment_chunks", "similarity_probe", "route_sigma", "route_stateless_skew", "report_boafft", "cluster_report", "containers", "feat_mink", "feature_index"]
 
+#: Queries whose joins of growing tables could be broadcast, which took the driver's memory.
+BOUNDED = ["best_container"]
+
 
 @pytest.mark.parametrize("name", QUERIES)
 def test_the_stream_is_not_computed_again(spark, name):
@@ -73,6 +77,48 @@ def test_tables_of_long_texts_are_unpacked_in_small_batches(spark, monkeypatch):
     assert seen[0] <= 256 and spark.conf.get(key) == before
 
 
+def _growing(found):
+    """Joins of the last execution that were sent to every task, but for those by a trace or a node, of which there are few."""
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    keys = re.findall(r"BroadcastHashJoin \[([^\]]*)\]", plan.split("== Initial Plan ==")[0])
+    return [k for k in keys if not re.fullmatch(r"(trace|node)#\d+L?", k)]
+
+
+@pytest.mark.parametrize("name", BOUNDED)
+def test_no_table_that_grows_is_sent_to_the_driver(spark, monkeypatch, name):
+    import __spark_entry__ as entry
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    sent, sizes, real = [], [], DataFrame.checkpoint
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(key)
+
+    def checkpoint(df, *a):
+        sizes.append(spark.conf.get(key))
+        out = real(df, *a)
+        sent.extend(_growing(df))
+        return out
+
+    monkeypatch.setattr(DataFrame, "checkpoint", checkpoint)
+    found = entry.queries()[name](spark, SF)
+    found.collect()
+    assert sent + _growing(found) == []
+    assert all(int(s) <= 4 << 20 for s in sizes[:3]) and spark.conf.get(key) == before
+
+
+def test_a_smaller_size_of_partitions_is_kept(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    key, seen, real = "spark.sql.adaptive.advisoryPartitionSizeInBytes", [], DataFrame.checkpoint
+    monkeypatch.setattr(DataFrame, "checkpoint", lambda df, *a: seen.append(spark.conf.get(key)) or real(df, *a))
+    spark.conf.set(key, "16k")
+    try:
+        durable(spark.range(9), part_bytes=4 << 20)
+        assert seen == ["16384"] and spark.conf.get(key) == "16k"
+    finally:
+        spark.conf.unset(key)
+
+
 def test_nulls_are_kept(spark):
     rows = [(None, 1, i, None if i % 3 == 0 else fp) for i, fp in enumerate(stream(40))]
     chunks = spark.createDataFrame(rows, "trace string, file_no long, chunk_no long, fp string")
