@@ -21,20 +21,17 @@ def node_report(members: DataFrame, decisions: DataFrame, features: DataFrame, c
     """Blocks, segments, features and segment traffic of every node, empty nodes included.
 
     A segment message has 12 bytes, 6 per feature slot and 6 per chunk; its reply has 16 and 6
-    per duplicate.
+    per duplicate. `members` may be the counts of `packs.counted`.
     """
     spark = members.sparkSession
-    placed = nodes_of.placed(members, decisions)
-    # distinct fingerprints first, then sums: the count per node needs no wide state
-    per_fp = placed.groupBy("node", "fp").agg(F.count("*").alias("c"))
-    blocks = per_fp.groupBy("node").agg(F.sum("c").alias("logic_block"), F.count("*").alias("phy_block"))
+    blocks = nodes_of.blocks(nodes_of.placed(members, decisions))
     segs = decisions.groupBy("node").agg(F.count("*").alias("fp_connec"))
     nodes = spark.range(cfg.nodes).select(F.col("id").cast("int").alias("node"))
     out = nodes.join(blocks, "node", "left").join(segs, "node", "left")
     if cfg.policy.startswith("stateless"):
         out = out.withColumn("fea_tab_size", F.lit(0).cast("long"))
     else:
-        at = features.join(decisions.select("seg_id", "node"), "seg_id").select("node", "fea").distinct()
+        at = nodes_of.placed(features, decisions).select("node", "fea").distinct()
         out = out.join(at.groupBy("node").agg(F.count("*").alias("fea_tab_size")), "node", "left")
     out = out.na.fill(0)
     head = 12 + 6 * cfg.features
